@@ -24,6 +24,11 @@ def box(x0, y0, x1, y1) -> Column:
     return F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _edges(ring: Column) -> Column:
     """Indexes of a ring's edges; empty for a ring with no edge."""
     n = F.size(ring)
@@ -51,9 +56,8 @@ def _ring_moments(ring: Column) -> Column:
 def area(rings: Column) -> Column:
     """Shell area minus hole areas, whatever the ring direction."""
     areas = F.transform(rings, lambda r: F.abs(_ring_moments(r)["a"]))
-    return 2.0 * F.coalesce(F.get(areas, F.lit(0)), F.lit(0.0)) - F.aggregate(
-        areas, F.lit(0.0), lambda s, a: s + a
-    )
+    return _let(areas, lambda v: 2.0 * F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)) - F.aggregate(
+        v, F.lit(0.0), lambda s, a: s + a))
 
 
 def perimeter(rings: Column) -> Column:
@@ -69,25 +73,29 @@ def perimeter(rings: Column) -> Column:
 
 def compactness(rings: Column) -> Column:
     """4 pi A / P^2: 1 for a circle, lower for long or ragged shapes."""
-    p = perimeter(rings)
-    return F.when(p > 0, F.lit(4 * math.pi) * area(rings) / (p * p)).otherwise(F.lit(0.0))
+    return _let(perimeter(rings), lambda p: F.when(
+        p > 0, F.lit(4 * math.pi) * area(rings) / (p * p)).otherwise(F.lit(0.0)))
 
 
 def centroid(rings: Column) -> Column:
     """Area centroid of shell minus holes as struct (x, y)."""
     shell_o = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def weighted(r: Column, k: Column) -> Column:
-        m, o = _ring_moments(r), F.get(r, F.lit(0))
-        sign = F.when(k == 0, F.signum(m["a"])).otherwise(-F.signum(m["a"]))
-        return F.struct(
-            (sign * m["a"]).alias("a"),
-            (sign * (m["mx"] + m["a"] * (o["x"] - shell_o["x"]))).alias("mx"),
-            (sign * (m["my"] + m["a"] * (o["y"] - shell_o["y"]))).alias("my"),
-        )
+        o = F.get(r, F.lit(0))
 
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    total = F.aggregate(
+        def shifted(m: Column) -> Column:
+            sign = F.signum(m["a"]) * F.when(k == 0, 1.0).otherwise(-1.0)
+            return F.struct(
+                (sign * m["a"]).alias("a"),
+                (sign * (m["mx"] + m["a"] * (o["x"] - shell_o["x"]))).alias("mx"),
+                (sign * (m["my"] + m["a"] * (o["y"] - shell_o["y"]))).alias("my"),
+            )
+
+        return _let(_ring_moments(r), shifted)
+
+    return F.aggregate(
         F.transform(rings, weighted),
         zero,
         lambda s, m: F.struct(
@@ -98,7 +106,6 @@ def centroid(rings: Column) -> Column:
             (shell_o["y"] + F.coalesce(F.try_divide(s["my"], s["a"]), F.lit(0.0))).alias("y"),
         ),
     )
-    return total
 
 
 def contains(rings: Column, px: Column, py: Column) -> Column:
@@ -131,29 +138,35 @@ def bounds(rings: Column) -> Column:
 def inner_point(rings: Column) -> Column:
     """A point inside the polygon: the centroid, else the middle of the widest
     run of the horizontal line through the middle of the bounding box."""
-    c, b = centroid(rings), bounds(rings)
-    y = (b["y0"] + b["y1"]) / 2.0
-
-    def cut(r: Column) -> Column:
-        def at(i: Column) -> Column:
-            p, q = F.get(r, i), F.get(r, i + 1)
-            crosses = (p["y"] > y) != (q["y"] > y)
-            return F.when(crosses, p["x"] + F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]))
-
-        return F.transform(_edges(r), at)
-
-    xs = F.array_sort(F.array_compact(F.flatten(F.transform(rings, cut))))
-    runs = F.when(F.size(xs) >= 2, F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
-        lambda k: F.struct(
-            (F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("w"),
-            ((F.get(xs, 2 * k + 1) + F.get(xs, 2 * k)) / 2.0).alias("x"),
-        ),
-    ))
-    widest = F.array_max(runs)
-    return F.when(contains(rings, c["x"], c["y"]) | widest.isNull(), c).otherwise(
-        F.struct(widest["x"].alias("x"), y.alias("y"))
-    )
+    def widest(y: Column) -> Column:
+        def cut(r: Column) -> Column:
+            def at(i: Column) -> Column:
+                p, q = F.get(r, i), F.get(r, i + 1)
+                crosses = (p["y"] > y) != (q["y"] > y)
+                return F.when(crosses, p["x"] + F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]))
+
+            return F.transform(_edges(r), at)
+
+        def runs(xs: Column) -> Column:
+            pairs = F.transform(
+                F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
+                lambda k: F.struct(
+                    (F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("w"),
+                    ((F.get(xs, 2 * k + 1) + F.get(xs, 2 * k)) / 2.0).alias("x")))
+            return F.when(F.size(xs) >= 2, F.array_max(pairs))
+
+        xs = F.array_sort(F.array_compact(F.flatten(F.transform(rings, cut))))
+        return _let(xs, runs)
+
+    def choose(c: Column) -> Column:
+        def scan(y: Column) -> Column:
+            return _let(widest(y), lambda best: F.when(best.isNull(), c).otherwise(
+                F.struct(best["x"].alias("x"), y.alias("y"))))
+
+        middle = _let(bounds(rings), lambda b: (b["y0"] + b["y1"]) / 2.0)
+        return F.when(contains(rings, c["x"], c["y"]), c).otherwise(_let(middle, scan))
+
+    return _let(centroid(rings), choose)
 
 
 def boundary_segments(df: DataFrame, keep: list[str], rings: str = "rings") -> DataFrame:

@@ -72,9 +72,11 @@ def read_trade_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """News lines per zone; the file name is the zone id."""
+    """News lines per zone; the zone id is the partition folder or the file name."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "source", "text", "reply")])
-    zone = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)
-    return spark.read.schema(schema).json(path).withColumn("zone_id", zone)
+    folder = F.regexp_extract("_file", r"zone_id=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1)
+    lines = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).withColumn("_file", F.input_file_name())
+    return lines.withColumn("zone_id", F.when(folder != "", folder).otherwise(name)).drop("_file")
 
 
