@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parcelgrid.functions.shapes import let
+
 TARGET_SRID = 5186
 LONLAT_SRID = 4326
 
@@ -57,41 +59,51 @@ def _atanh(x: Column) -> Column:
 
 def to_metres(lon: Column, lat: Column) -> Column:
     """Struct (x, y) in the metre system from degrees."""
-    s = F.sin(F.radians(lat))
-    t = F.sinh(_atanh(s) - F.lit(_E) * _atanh(F.lit(_E) * s))
     dl = F.radians(lon - F.lit(LON0))
-    xi0 = F.atan2(t, F.cos(dl))
-    eta0 = _atanh(F.sin(dl) / F.sqrt(1.0 + t * t))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(_FORWARD):
-        m = 2.0 * (j + 1)
-        xi = xi + F.lit(a) * F.sin(m * xi0) * F.cosh(m * eta0)
-        eta = eta + F.lit(a) * F.cos(m * xi0) * F.sinh(m * eta0)
-    return F.struct(
-        (F.lit(FALSE_E) + F.lit(K0 * _RADIUS) * eta).alias("x"),
-        (F.lit(FALSE_N - K0 * _M0) + F.lit(K0 * _RADIUS) * xi).alias("y"),
-    )
+
+    def sphere(t: Column) -> Column:
+        return F.struct(F.atan2(t, F.cos(dl)).alias("xi"), _atanh(F.sin(dl) / F.sqrt(1.0 + t * t)).alias("eta"))
+
+    def plane(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, a in enumerate(_FORWARD):
+            m = 2.0 * (j + 1)
+            xi = xi + F.lit(a) * F.sin(m * p["xi"]) * F.cosh(m * p["eta"])
+            eta = eta + F.lit(a) * F.cos(m * p["xi"]) * F.sinh(m * p["eta"])
+        return F.struct(
+            (F.lit(FALSE_E) + F.lit(K0 * _RADIUS) * eta).alias("x"),
+            (F.lit(FALSE_N - K0 * _M0) + F.lit(K0 * _RADIUS) * xi).alias("y"))
+
+    conformal = let(F.sin(F.radians(lat)), lambda s: F.sinh(_atanh(s) - F.lit(_E) * _atanh(F.lit(_E) * s)))
+    return let(conformal, lambda t: let(sphere(t), plane))
 
 
 def to_degrees(x: Column, y: Column) -> Column:
     """Struct (lon, lat) in degrees from the metre system."""
-    xi1 = (y - F.lit(FALSE_N - K0 * _M0)) / F.lit(K0 * _RADIUS)
-    eta1 = (x - F.lit(FALSE_E)) / F.lit(K0 * _RADIUS)
-    xi, eta = xi1, eta1
-    for j, b in enumerate(_INVERSE):
-        m = 2.0 * (j + 1)
-        xi = xi - F.lit(b) * F.sin(m * xi1) * F.cosh(m * eta1)
-        eta = eta - F.lit(b) * F.cos(m * xi1) * F.sinh(m * eta1)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    psi = _atanh(F.sin(chi))
-    # Undo the conformal latitude by fixed-point steps; five reach 1e-15.
-    q = psi
-    for _ in range(5):
-        q = psi + F.lit(_E) * _atanh(F.lit(_E) * F.tanh(q))
-    return F.struct(
-        (F.lit(LON0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))).alias("lon"),
-        F.degrees(F.asin(F.tanh(q))).alias("lat"),
-    )
+    start = F.struct(
+        ((y - F.lit(FALSE_N - K0 * _M0)) / F.lit(K0 * _RADIUS)).alias("xi"),
+        ((x - F.lit(FALSE_E)) / F.lit(K0 * _RADIUS)).alias("eta"))
+
+    def sphere(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, b in enumerate(_INVERSE):
+            m = 2.0 * (j + 1)
+            xi = xi - F.lit(b) * F.sin(m * p["xi"]) * F.cosh(m * p["eta"])
+            eta = eta - F.lit(b) * F.cos(m * p["xi"]) * F.sinh(m * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def latitude(psi: Column) -> Column:
+        # Undo the conformal latitude by fixed-point steps; five reach 1e-15.
+        return F.degrees(F.asin(F.tanh(F.aggregate(
+            F.sequence(F.lit(1), F.lit(5)), psi, lambda q, _: psi + F.lit(_E) * _atanh(F.lit(_E) * F.tanh(q))))))
+
+    def ground(p: Column) -> Column:
+        chi = let(F.sin(p["xi"]) / F.cosh(p["eta"]), _atanh)
+        return F.struct(
+            (F.lit(LON0) + F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])))).alias("lon"),
+            let(chi, latitude).alias("lat"))
+
+    return let(start, lambda p: let(sphere(p), ground))
 
 
 def to_target(df: DataFrame, srid: int | None, *, x: str = "x", y: str = "y") -> DataFrame:
@@ -102,5 +114,5 @@ def to_target(df: DataFrame, srid: int | None, *, x: str = "x", y: str = "y") ->
         return df
     if srid != LONLAT_SRID:
         raise ValueError(f"no conversion from EPSG:{srid}")
-    p = to_metres(F.col(x), F.col(y))
-    return df.withColumns({x: p["x"], y: p["y"]})
+    moved = df.withColumn("_m", to_metres(F.col(x), F.col(y)))
+    return moved.withColumns({x: F.col("_m.x"), y: F.col("_m.y")}).drop("_m")

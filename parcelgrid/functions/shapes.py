@@ -24,7 +24,7 @@ def box(x0, y0, x1, y1) -> Column:
     return F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -56,7 +56,7 @@ def _ring_moments(ring: Column) -> Column:
 def area(rings: Column) -> Column:
     """Shell area minus hole areas, whatever the ring direction."""
     areas = F.transform(rings, lambda r: F.abs(_ring_moments(r)["a"]))
-    return _let(areas, lambda v: 2.0 * F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)) - F.aggregate(
+    return let(areas, lambda v: 2.0 * F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)) - F.aggregate(
         v, F.lit(0.0), lambda s, a: s + a))
 
 
@@ -73,7 +73,7 @@ def perimeter(rings: Column) -> Column:
 
 def compactness(rings: Column) -> Column:
     """4 pi A / P^2: 1 for a circle, lower for long or ragged shapes."""
-    return _let(perimeter(rings), lambda p: F.when(
+    return let(perimeter(rings), lambda p: F.when(
         p > 0, F.lit(4 * math.pi) * area(rings) / (p * p)).otherwise(F.lit(0.0)))
 
 
@@ -93,7 +93,7 @@ def centroid(rings: Column) -> Column:
                 (sign * (m["my"] + m["a"] * (o["y"] - shell_o["y"]))).alias("my"),
             )
 
-        return _let(_ring_moments(r), shifted)
+        return let(_ring_moments(r), shifted)
 
     return F.aggregate(
         F.transform(rings, weighted),
@@ -156,17 +156,17 @@ def inner_point(rings: Column) -> Column:
             return F.when(F.size(xs) >= 2, F.array_max(pairs))
 
         xs = F.array_sort(F.array_compact(F.flatten(F.transform(rings, cut))))
-        return _let(xs, runs)
+        return let(xs, runs)
 
     def choose(c: Column) -> Column:
         def scan(y: Column) -> Column:
-            return _let(widest(y), lambda best: F.when(best.isNull(), c).otherwise(
+            return let(widest(y), lambda best: F.when(best.isNull(), c).otherwise(
                 F.struct(best["x"].alias("x"), y.alias("y"))))
 
-        middle = _let(bounds(rings), lambda b: (b["y0"] + b["y1"]) / 2.0)
-        return F.when(contains(rings, c["x"], c["y"]), c).otherwise(_let(middle, scan))
+        middle = let(bounds(rings), lambda b: (b["y0"] + b["y1"]) / 2.0)
+        return F.when(contains(rings, c["x"], c["y"]), c).otherwise(let(middle, scan))
 
-    return _let(centroid(rings), choose)
+    return let(centroid(rings), choose)
 
 
 def boundary_segments(df: DataFrame, keep: list[str], rings: str = "rings") -> DataFrame:

@@ -8,7 +8,6 @@ from parcelgrid import settings as S
 from parcelgrid.functions.fields import lookup, proximity
 from parcelgrid.functions.ids import district_of
 from parcelgrid.operators.cells import nearest_site
-from parcelgrid.operators.keyed import salted_join
 from parcelgrid.operators.ranks import with_percentile
 
 
@@ -75,7 +74,7 @@ def old_ratio_of_groups(stock: DataFrame, members: DataFrame, t: int, *, group:
     """(group, old_ratio) of parcel groups; counts decide when any area is missing."""
     sums = ["n_existing", "n_with_area", "area", "n_old", "old_area"]
     per = (
-        salted_join(members.select(group, "pnu"), stock_at(stock, t), ["pnu"], [group])
+        members.select(group, "pnu").join(stock_at(stock, t), "pnu")
         .groupBy(group).agg(*[F.sum(c).alias(c) for c in sums])
     )
     by_area = F.lit(weight == "area") & (F.col("n_with_area") == F.col("n_existing"))

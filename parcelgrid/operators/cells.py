@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.functions import shapes
 from parcelgrid.operators.keyed import first_per_key, salted_join
+from parcelgrid.session import durable
 
 
 def cell_of(v: Column, size) -> Column:
@@ -47,7 +48,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, *, point_id: str,
         & F.col("y").between(F.col("_b.y0"), F.col("_b.y1"))
         & shapes.contains(F.col("rings"), F.col("x"), F.col("y"))
     )
-    pairs = salted_join(looked, areas, ["_lvl", "_cx", "_cy"], [point_id])
+    pairs = salted_join(looked, areas, ["_lvl", "_cx", "_cy"], [point_id], heavy=True)
     return pairs.where(inside).drop("_lvl", "_cx", "_cy", "_b", "rings")
 
 
@@ -70,7 +71,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *, left_id:
     )
     d2 = F.pow(F.col("x") - F.col(right_x), 2) + F.pow(F.col("y") - F.col(right_y), 2)
     r2 = F.lit(float(radius_m) ** 2)
-    pairs = salted_join(lhs, rhs, keys, [left_id]).withColumn("dist2", d2)
+    pairs = salted_join(lhs, rhs, keys, [left_id], heavy=True).withColumn("dist2", d2)
     return pairs.where(F.col("dist2") < r2 if strict else F.col("dist2") <= r2).drop("_cx", "_cy")
 
 
@@ -106,14 +107,14 @@ def nearest_site(points: DataFrame, sites: DataFrame, *, point_id: list[str], on
         .withColumns({"_cx": F.floor(F.col("_fx") / up).cast("long"),
                       "_cy": F.floor(F.col("_fy") / up).cast("long")})
     )
-    reach = (
+    reach = durable(
         ladder.join(occupied, keys, "left_semi")
         .groupBy(*on, "_fx", "_fy").agg(F.min("_lvl").alias("_found"))
         .withColumn("_lvl", F.least(F.col("_found") + 1, F.lit(top)))
         .drop("_found")
     )
     up2 = F.pow(F.lit(4.0), F.col("_lvl"))
-    aimed = salted_join(fine, reach, [*on, "_fx", "_fy"], point_id).withColumns(
+    aimed = fine.join(reach, [*on, "_fx", "_fy"]).withColumns(
         {"_cx": F.floor(F.col("_fx") / up2).cast("long"), "_cy": F.floor(F.col("_fy") / up2).cast("long")}
     ).drop("_fx", "_fy")
     d2 = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
@@ -140,7 +141,7 @@ def _segment_cells(parcels: DataFrame, keep: list[str], cell_m: float, grow_m: f
 
     return (
         piece.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
-        .drop("_n", "_k").distinct()
+        .drop("_n", "_k")
     )
 
 
@@ -157,9 +158,13 @@ def close_pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: st
     pts = ("x1", "y1", "x2", "y2")
     a = a.select(*on, "_cx", "_cy", left_id, *[F.col(c).alias(f"a_{c}") for c in pts])
     b = b.select(*on, "_cx", "_cy", right_id, *[F.col(c).alias(f"b_{c}") for c in pts])
-    pairs = salted_join(a, b, [*on, "_cx", "_cy"], [left_id, "a_x1", "a_y1"], rows_per_task=50_000)
+    pairs = salted_join(a, b, [*on, "_cx", "_cy"], [left_id, "a_x1", "a_y1"], rows_per_task=50_000, heavy=True)
     pairs = pairs.where(F.col(left_id) < F.col(right_id) if ordered else F.col(left_id) != F.col(right_id))
-    return pairs.where(
+    boxes = F.lit(True)
+    for c in ("x", "y"):
+        p, q = (F.col(f"a_{c}1"), F.col(f"a_{c}2")), (F.col(f"b_{c}1"), F.col(f"b_{c}2"))
+        boxes = boxes & (F.least(*p) - within_m <= F.greatest(*q)) & (F.greatest(*p) + within_m >= F.least(*q))
+    return pairs.where(boxes).where(
         shapes.segment_distance2("a_", "b_") <= F.lit(float(within_m) ** 2)
     ).select(left_id, right_id).distinct()
 

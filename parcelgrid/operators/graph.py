@@ -138,17 +138,16 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     for turn in range(max_rounds):
         if live.isEmpty():
             return nodes
-        step = live.groupBy("src").agg(F.min("dst").alias("to")).where(F.col("to") < F.col("src"))
+        step = durable(live.groupBy("src").agg(F.min("dst").alias("to")).where(F.col("to") < F.col("src")))
+        hop = step.select(F.col("src").alias("to"), F.col("to").alias("_far"))
         for _ in range(3):
-            nxt = step.select(F.col("src").alias("to"), F.col("to").alias("_far"))
-            step = salted_join_left(step, nxt, "to", "src").select("src", F.coalesce("_far", "to").alias("to"))
+            step = step.join(hop, "to", "left").select("src", F.coalesce("_far", "to").alias("to"))
         step = durable(step)
-        nodes = salted_join_left(nodes, step.withColumnRenamed("src", "component"), "component", "pnu").select(
+        nodes = nodes.join(step.withColumnRenamed("src", "component"), "component", "left").select(
             "pnu", F.coalesce("to", "component").alias("component"))
-        moved = salted_join_left(live, step, "src", "dst").select(
-            F.coalesce("to", "src").alias("src"), "dst")
-        moved = salted_join_left(moved, step.withColumnRenamed("src", "dst"), "dst", "src").select(
-            "src", F.coalesce("to", "dst").alias("dst"))
+        ends = step.select(F.col("src").alias("dst"), F.col("to").alias("_dst"))
+        moved = live.join(step, "src", "left").join(ends, "dst", "left").select(
+            F.coalesce("to", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
         rest = durable(moved.where("src <> dst").distinct())
         if turn > 0:
             release(live)
@@ -156,27 +155,21 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def salted_join_left(left: DataFrame, right: DataFrame, key: str, spread: str, *,
-                     rows_per_task: int = 500_000) -> DataFrame:
-    """Left join to a table with unique keys, hot left keys cut as in ``salted_join``."""
-    return salted_join(left, right, [key], [spread], how="left", rows_per_task=rows_per_task)
-
-
 def with_min_size(members: DataFrame, group: str, min_nodes: int) -> DataFrame:
     """Members of groups that have at least ``min_nodes`` of them."""
     big = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_nodes).select(group)
-    return salted_join(members, big, [group], ["pnu"])
+    return members.join(big, group)
 
 
 def _passing_components(flags: DataFrame, edges: DataFrame) -> DataFrame:
     """Components among passing nodes; a passing node without passing neighbours is its own."""
-    ok = flags.select("pnu")
+    ok = durable(flags.select("pnu"))
     kept = (
         edges.join(ok.withColumnRenamed("pnu", "src"), "src", "left_semi")
         .join(ok.withColumnRenamed("pnu", "dst"), "dst", "left_semi")
     )
-    return ok.join(components(kept), "pnu", "left").select(
-        "pnu", F.coalesce("component", "pnu").alias("cluster_id"))
+    return durable(ok.join(components(kept), "pnu", "left").select(
+        "pnu", F.coalesce("component", "pnu").alias("cluster_id")))
 
 
 def candidate_clusters(scores: DataFrame, edges: DataFrame, *, threshold: float,
@@ -193,5 +186,5 @@ def region_grow(aging: DataFrame, edges: DataFrame, *, seed_cut: float = S.SEED_
     comp = _passing_components(grow, edges)
     seeded = comp.join(aging.where(F.col("aging") >= seed_cut).select("pnu"), "pnu", "left_semi").select(
         "cluster_id").distinct()
-    return with_min_size(salted_join(comp, seeded, ["cluster_id"], ["pnu"]), "cluster_id", min_nodes)
+    return with_min_size(comp.join(seeded, "cluster_id"), "cluster_id", min_nodes)
 

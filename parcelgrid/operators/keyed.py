@@ -25,13 +25,15 @@ def nulls_last(c: Column) -> list[Column]:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], *,
-                how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                how: str = "inner", rows_per_task: int = ROWS_PER_TASK, heavy: bool = False) -> DataFrame:
     """Equi join whose left side may hold hot keys.
 
     Keys with more than ``rows_per_task`` left rows are cut into that many
     parts by a hash of ``spread``; matching right rows are repeated once per
     part. All other keys keep a single part. The table of hot keys has at most
-    ``rows(left) / rows_per_task`` rows.
+    ``rows(left) / rows_per_task`` rows. ``left`` is read twice, so it should be
+    cheap to read. With ``heavy`` the left rows are spread over all shuffle
+    partitions even when they are few bytes: each pair costs much to test.
     """
     hot = (
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -41,6 +43,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     lhs = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
+    if heavy:
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lhs = lhs.repartition(n, *keys, "_salt")
     rhs = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")

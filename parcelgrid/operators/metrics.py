@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelgrid.operators.keyed import salted_join
 from parcelgrid.operators.ranks import average_rank, exact_quantiles, running_totals
 
 
@@ -79,7 +78,7 @@ def evaluate(df: DataFrame, groups: list[str]) -> DataFrame:
     c = curve(df, groups)
     best = best_f1(c, groups)
     if groups:
-        at = salted_join(df, best.select(*groups, "best_thr"), groups, ["y", "p"])
+        at = df.join(best.select(*groups, "best_thr"), groups)
     else:
         # ``best`` is a single row.
         at = df.withColumn("_k", F.lit(1)).join(F.broadcast(best.select("best_thr", F.lit(1).alias("_k"))), "_k")
@@ -179,7 +178,7 @@ def zone_matches(zones: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     zone_n = zones.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_zn"))
     cluster_n = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_cn"))
-    shared = salted_join(zones.select("zone_id", "pnu"), clusters.select("cluster_id", "pnu"), ["pnu"], ["zone_id"])
+    shared = zones.select("zone_id", "pnu").join(clusters.select("cluster_id", "pnu"), "pnu")
     pair = shared.groupBy("zone_id", "cluster_id").agg(F.count(F.lit(1)).alias("_i"))
     sized = pair.join(cluster_n, "cluster_id").join(zone_n, "zone_id")
     iou = F.col("_i") / (F.col("_zn") + F.col("_cn") - F.col("_i"))

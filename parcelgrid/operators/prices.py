@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from parcelgrid import settings as S
 from parcelgrid.functions.fields import price_per_pyeong, villa_unit_prices, within_window
 from parcelgrid.operators.cells import radius_join
-from parcelgrid.operators.keyed import salted_join
 from parcelgrid.operators.ranks import bucketed, exact_quantiles, locate_quantiles, pick_quantiles, value_edges
+from parcelgrid.session import durable
 
 
 def located(trades: DataFrame, points: DataFrame) -> DataFrame:
     """Trades with their parcel's centroid as (rx, ry)."""
     spots = points.select("pnu", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return salted_join(trades, spots, ["pnu"], ["pyung"])
+    return trades.join(spots, "pnu")
 
 
 def dong_prices(trades: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def price_target(points: DataFrame, trades: DataFrame, *, current_ym: int,
     which radius holds enough trades, then takes the median of that one.
     """
     near, far = radii
-    v = located(within_window(villa_unit_prices(trades), current_ym, years), points)
+    v = durable(located(within_window(villa_unit_prices(trades), current_ym, years).select("pnu", "pyung"), points))
     spots = v.groupBy("pnu", "rx", "ry").agg(F.count(F.lit(1)).alias("_c"))
     parcels = points.select(F.col("pnu").alias("target"), "x", "y")
-    site_pairs = radius_join(
+    site_pairs = durable(radius_join(
         parcels, spots.withColumnRenamed("pnu", "site"), far, left_id="target"
-    ).select("target", "site", "_c", (F.col("dist2") <= F.lit(float(near) ** 2)).alias("_near"))
+    ).select("target", "site", "_c", (F.col("dist2") <= F.lit(float(near) ** 2)).alias("_near")))
     level = site_pairs.groupBy("target").agg(
         F.coalesce(F.sum(F.when(F.col("_near"), F.col("_c"))), F.lit(0)).alias("_n_near"), F.sum("_c").alias("_n_far")
     ).select("target", F.when(F.col("_n_near") >= min_trades, f"r{near}").when(
@@ -66,10 +66,10 @@ def comparable_newbuild(points: DataFrame, trades: DataFrame, *, current_year: i
     apt = trades.where(
         (F.col("trade_type") == "apt") & (F.lit(current_year) - F.col("build_year") <= max_age)
     ).withColumn("pyung", price_per_pyeong(F.col("deal_amount"), F.col("area_m2"))).where(F.col("pyung").isNotNull())
-    spot = located(apt.select("pnu", "pyung"), points)
+    spot = durable(located(apt.select("pnu", "pyung"), points))
     sites = spot.groupBy(F.col("pnu").alias("site"), "rx", "ry").agg(F.count(F.lit(1)).alias("_c"))
     parcels = points.select(F.col("pnu").alias("target"), "x", "y")
-    pairs = radius_join(parcels, sites, radius_m, left_id="target").select("target", "site", "_c")
+    pairs = durable(radius_join(parcels, sites, radius_m, left_id="target").select("target", "site", "_c"))
     enough = pairs.groupBy("target").agg(F.sum("_c").alias("_n")).where(F.col("_n") >= min_trades).select("target")
     mid = site_median(pairs.join(enough, "target").select("target", "site"),
                       spot.select(F.col("pnu").alias("site"), "pyung"), ["target"])
@@ -84,11 +84,12 @@ def site_median(pairs: DataFrame, prices: DataFrame, groups: list[str]) -> DataF
     each group's middle bucket, and only prices of that bucket are paired, so
     the full list of prices per group is never built.
     """
-    cut = bucketed(prices, "pyung", value_edges(prices, "pyung", 256))
-    at_site = cut.groupBy("site", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    counts = salted_join(pairs, at_site, ["site"], groups).groupBy(*groups, "_bucket").agg(F.sum("_c").alias("_c"))
+    distinct = prices.groupBy("site", "pyung").agg(F.count(F.lit(1)).alias("_m"))
+    cut = bucketed(distinct, "pyung", value_edges(prices, "pyung", 256))
+    at_site = cut.groupBy("site", "_bucket").agg(F.sum("_m").alias("_c"))
+    counts = pairs.join(at_site, "site").groupBy(*groups, "_bucket").agg(F.sum("_c").alias("_c"))
     probs = {"median": 0.5}
     wanted = locate_quantiles(counts, groups, probs)
     aimed = pairs.join(wanted, groups)
-    near = salted_join(aimed, cut, ["site", "_bucket"], groups)
+    near = aimed.join(cut, ["site", "_bucket"])
     return pick_quantiles(near, groups, "pyung", probs)

@@ -1,7 +1,7 @@
 """Ranks, running totals and exact quantiles that never sort one group in one task.
 
-Rows are first reduced to distinct (group, value) counts. Values are cut into
-buckets at a few hundred quantile edges, which are plain numbers computed once.
+Rows are first reduced to distinct (group, value) counts, written once. Values
+are cut into buckets at a few hundred quantile edges, which are plain numbers.
 A window then runs inside (group, bucket), and another one over the bucket
 totals of a group. Edges only decide how work is split: any edges give the same
 answer.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parcelgrid.session import durable
+
 BUCKETS = 512
 
 
@@ -30,7 +32,7 @@ def bucketed(df: DataFrame, value: str, edges: list[float], out: str = "_bucket"
 
 
 def running_totals(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column], *,
-                   edges: list[float] | None = None, descending: bool = False) -> DataFrame:
+                   descending: bool = False) -> DataFrame:
     """Distinct (group, value) rows with each sum up to and including the value.
 
     For every name in ``sums`` the result has ``name`` (at this value),
@@ -38,9 +40,8 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: dict[str,
     total). Null values are left out.
     """
     src = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    edges = value_edges(src, value) if edges is None else edges
-    distinct = src.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()])
-    cut = bucketed(distinct, value, edges)
+    distinct = durable(src.groupBy(*groups, value).agg(*[c.alias(n) for n, c in sums.items()]))
+    cut = bucketed(distinct, value, value_edges(distinct, value))
 
     def order(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
@@ -66,10 +67,9 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: dict[str,
     )
 
 
-def average_rank(df: DataFrame, groups: list[str], value: str, *,
-                 edges: list[float] | None = None) -> DataFrame:
+def average_rank(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Distinct (group, value) with n, n_below, n_all and the average rank of ties."""
-    run = running_totals(df, groups, value, {"n": F.count(F.lit(1))}, edges=edges)
+    run = running_totals(df, groups, value, {"n": F.count(F.lit(1))})
     return run.select(
         *groups, value, "n",
         (F.col("cum_n") - F.col("n")).alias("n_below"),
@@ -86,17 +86,16 @@ def with_percentile(df: DataFrame, groups: list[str], value: str, out: str, *,
     return df.withColumn(value, F.col(value).cast("double")).join(ranks, [*groups, value], "left")
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float], *,
-                    edges: list[float] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation, plus ``n``.
 
     A group's values are never held together: bucket counts locate the two
     neighbouring order statistics, and only their buckets are looked at again.
     """
     src = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    edges = value_edges(src, value) if edges is None else edges
-    cut = bucketed(src.select(*groups, value), value, edges)
-    counts = cut.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = durable(src.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_m")))
+    cut = bucketed(distinct, value, value_edges(distinct, value))
+    counts = cut.groupBy(*groups, "_bucket").agg(F.sum("_m").alias("_c"))
     wanted = locate_quantiles(counts, groups, probs)
     return pick_quantiles(cut.join(wanted, [*groups, "_bucket"]), groups, value, probs)
 
@@ -129,8 +128,8 @@ def locate_quantiles(counts: DataFrame, groups: list[str], probs: dict[str, floa
 
 
 def pick_quantiles(near: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles from the rows of the located buckets."""
-    near = near.groupBy(*groups, "_bucket", "_before", "n", value).agg(F.count(F.lit(1)).alias("_c"))
+    """Quantiles from the rows of the located buckets, each standing for ``_m`` values."""
+    near = near.groupBy(*groups, "_bucket", "_before", "n", value).agg(F.sum("_m").alias("_c"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     seated = near.withColumn("_start", F.col("_before") + F.sum("_c").over(inside) - F.col("_c"))
     picks = []

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid import settings as S
 from parcelgrid.operators.asof import area_ratio, count_ratio, stock_at
-from parcelgrid.operators.keyed import salted_join
 
 
 def parcel_facts(parcels: DataFrame, stock: DataFrame, *, t: int = S.CURRENT_YEAR,
@@ -34,7 +33,7 @@ def cluster_metrics(members: DataFrame, facts: DataFrame, *, group: str = "clust
     """
     far = F.coalesce(F.try_divide(F.coalesce("gfa", F.lit(0.0)), F.col("area_m2")), F.lit(0.0))
     sums = [F.sum(c).alias(c) for c in ("n_existing", "n_with_area", "area", "n_old", "old_area")]
-    agg = salted_join(members.select(group, "pnu"), facts, ["pnu"], [group]).groupBy(group).agg(
+    agg = members.select(group, "pnu").join(facts, "pnu").groupBy(group).agg(
         F.count(F.lit(1)).alias("n_parcels"),
         F.coalesce(F.sum("n_buildings"), F.lit(0)).cast("long").alias("n_buildings"),
         (F.sum("area_m2") / 10000.0).alias("_ha"),

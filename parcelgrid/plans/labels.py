@@ -8,7 +8,7 @@ from parcelgrid import settings as S
 from parcelgrid.functions import shapes
 from parcelgrid.operators.asof import old_ratio_by_parcel
 from parcelgrid.operators.cells import point_in_polygon
-from parcelgrid.operators.keyed import first_per_key, nulls_last, salted_join
+from parcelgrid.operators.keyed import first_per_key, nulls_last
 
 LABEL_COLUMNS = ["pnu", "t", "t_date", "t_source", "t_alt", "label", "certainty", "source",
                  "neg_reason", "zone_id", "zone_type", "contaminated"]
@@ -56,7 +56,7 @@ def flag_contamination(pos: DataFrame, current_ratio: DataFrame, *,
         .groupBy("zone_id").agg(F.avg("old_ratio").alias("_now")).where(F.col("_now") < cut)
         .select("zone_id", F.lit(True).alias("_done"))
     )
-    flagged = salted_join(pos, done, ["zone_id"], ["pnu"], how="left")
+    flagged = pos.join(done, "zone_id", "left")
     return flagged.withColumn("contaminated", F.coalesce("_done", F.lit(False))).select(*pos.columns)
 
 

@@ -33,7 +33,7 @@ def a1(t: Tables):
 
 @query("A1_parcel_report", """
 SELECT count(*) AS total_rows, count(*) FILTER (ck % 19 = 4) AS dropped_bad_pnu, count(*) FILTER (ck % 19 <> 4) AS kept_rows,
- count(*) FILTER (ck % 19 <> 4 AND ck % 23 = 1) AS dong_missing, 0 AS jibun_missing, count(DISTINCT sigungu) AS n_districts FROM parcels""",
+ count(*) FILTER (ck % 19 <> 4 AND ck % 23 = 1) AS dong_missing, 0::BIGINT AS jibun_missing, count(DISTINCT sigungu) AS n_districts FROM parcels""",
        uses=("parcels",))
 def a1_report(t: Tables):
     rep = C.parcel_report(IO.renamed(raw_parcels(t), IO.PARCEL_COLUMNS))
@@ -246,7 +246,7 @@ def a11(t: Tables):
 
 
 @query("A12_projection", """
-SELECT c_custkey AS ck, round(200000 + (c_custkey % 2003 - 1000) * 80, 3) AS x, round(550000 + (c_custkey * 7 % 2003 - 1000) * 90, 3) AS y FROM customer""")
+SELECT c_custkey AS ck, round(200000.0::DOUBLE + (c_custkey % 2003 - 1000) * 80, 3) AS x, round(550000.0::DOUBLE + (c_custkey * 7 % 2003 - 1000) * 90, 3) AS y FROM customer""")
 def a12(t: Tables):
     x = 200000.0 + (F.col("c_custkey") % 2003 - 1000) * 80
     y = 550000.0 + (F.col("c_custkey") * 7 % 2003 - 1000) * 90

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from parcelgrid.session import durable
 from parcelgrid.standins import Tables, cte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,7 @@ def query(name: str, sql: str | None = None, *, uses: tuple[str, ...] = ()):
         if sql is not None:
             body = sql.strip()
             if uses:
-                body = f"WITH {cte(*uses)}{'' if body.startswith(',') else chr(10)}{body}"
+                body = f"WITH {'RECURSIVE ' if 'reach AS' in body else ''}{cte(*uses)}{'' if body.startswith(',') else chr(10)}{body}"
             ORACLES[name] = body
         return fn
 
@@ -88,4 +89,4 @@ def scores_of(t: Tables) -> DataFrame:
 def node_edges(t: Tables) -> DataFrame:
     from parcelgrid.operators.graph import adjacency, node_parcels
 
-    return adjacency(node_parcels(t.shaped("parcels")))
+    return durable(adjacency(node_parcels(t.shaped("parcels"))))

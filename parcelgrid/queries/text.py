@@ -156,7 +156,7 @@ def v5(t: Tables):
 SELECT event_id, '### 될까' || chr(10) || '산출 불가' || CASE WHEN event_id % 3 = 0 THEN '. 노후 ' || event_id || '%' ELSE '' END
  || CASE WHEN event_id % 2 = 0 THEN chr(10) || '### 얼마' || chr(10) || '시세 ' || event_id ELSE '' END
  || chr(10) || '### 리스크' || chr(10) || '신호 없음' AS report,
- CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS n_caveats FROM events""")
+ CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_caveats FROM events""")
 def v6(t: Tables):
     k = F.col("event_id").cast("string")
     none = F.lit(None).cast("string")
