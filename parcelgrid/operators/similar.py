@@ -75,8 +75,9 @@ def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows:
         return max(1, -(-df.count() // block_rows))
 
     nq, nc = blocks(queries), blocks(cases)
-    q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"))
-    c = cases.select("case_id", "vec", F.pmod(F.xxhash64("case_id"), F.lit(nc)).cast("int").alias("cb"))
+    # Own names on each side: both may stem from one table.
+    q = queries.select("query_id", F.col("vec").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"))
+    c = cases.select("case_id", F.col("vec").alias("cv"), F.pmod(F.xxhash64("case_id"), F.lit(nc)).cast("int").alias("cb"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     schema = T.StructType([
@@ -90,7 +91,7 @@ def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows:
             return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
         cs = cs.sort_values("case_id", kind="stable")
         ids = cs["case_id"].to_numpy()
-        sims = np.stack(qs["vec"].to_numpy()).astype(float) @ np.stack(cs["vec"].to_numpy()).astype(float).T
+        sims = np.stack(qs["qv"].to_numpy()).astype(float) @ np.stack(cs["cv"].to_numpy()).astype(float).T
         # Rounding makes ties exact before the stable sort breaks them by id.
         order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
         return pd.DataFrame({
