@@ -113,6 +113,8 @@ def neighbour_features(rows: DataFrame, values: DataFrame, edges: DataFrame, col
     out, level = rows, values
     for h in range(1, hops + 1):
         agg = neighbour_stats(level, edges, columns, on=on)
+        if h < hops:
+            agg = durable(agg)
         named = agg.select(
             *keys,
             *[F.col(f"mean_{c}").cast("double").alias(f"nb{h}_mean_{c}") for c in columns],

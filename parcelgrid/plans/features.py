@@ -12,6 +12,7 @@ from parcelgrid.operators import asof, graph
 from parcelgrid.operators.cells import point_in_polygon
 from parcelgrid.operators.keyed import first_per_key, nulls_last
 from parcelgrid.plans import labels as L
+from parcelgrid.session import durable
 
 
 @dataclass
@@ -48,9 +49,9 @@ def static_features(parcels: DataFrame, every: DataFrame, zoning: DataFrame) ->
 
 def node_features(rows: DataFrame, tables: Tables, *, current_year: int = S.CURRENT_YEAR) -> DataFrame:
     """(pnu, t) plus the ten node features; nothing later than t is visible at t."""
-    asked = rows.select("pnu", "t").distinct()
+    asked = durable(rows.select("pnu", "t").distinct())
     here = tables.parcels.join(asked.select("pnu").distinct(), "pnu", "left_semi")
-    static = static_features(here, tables.parcels, tables.zoning)
+    static = durable(static_features(here, tables.parcels, tables.zoning))
     built = asof.stock_as_of(tables.stock, asked).select(
         "pnu", "t", asof.area_ratio().alias("aging"), "n_existing")
     base = asked.join(static, "pnu", "left").join(built, ["pnu", "t"], "left")
@@ -78,7 +79,7 @@ def with_neighbours(rows: DataFrame, edges: DataFrame, tables: Tables, *, hops:
     """
     asked = rows.select("pnu", "t").distinct()
     around = graph.closure(asked, edges, hops, on=["t"])
-    values = node_features(around, tables, current_year=current_year)
+    values = durable(node_features(around, tables, current_year=current_year))
     own = asked.join(values, ["pnu", "t"])
     return graph.neighbour_features(own, values, edges, S.NODE_FEATURES, hops=hops, on=["t"])
 
@@ -87,7 +88,7 @@ def all_node_features(nodes: DataFrame, edges: DataFrame, tables: Tables, *,
                       year: int = S.CURRENT_YEAR) -> DataFrame:
     """Features of every node at the current year."""
     rows = nodes.select("pnu", F.lit(year).alias("t"))
-    values = node_features(rows, tables, current_year=year)
+    values = durable(node_features(rows, tables, current_year=year))
     out = graph.neighbour_features(values, values, edges, S.NODE_FEATURES, on=["t"])
     return out.withColumn("sigungu", F.substring("pnu", 1, 5))
 

@@ -11,7 +11,7 @@ from parcelgrid.operators.cells import nearest_site, point_in_polygon, polygon_o
 from parcelgrid.operators.keyed import new_rows, overlap_report
 from parcelgrid.plans import features as FE, labels as L
 from parcelgrid.queries.ingest import lots
-from parcelgrid.queries.registry import EDGES_SQL, REACH_SQL, SCORES_SQL, big, node_edges, old_sql, query, r, scores_of
+from parcelgrid.queries.registry import EDGES_SQL, REACH_SQL, SCORES_SQL, big, node_edges, old_sql, query, r, scores_of, shared
 from parcelgrid.standins import DISTRICTS, Tables
 
 
@@ -366,11 +366,12 @@ def node_scores(t: Tables):
 
 
 def clusters(t: Tables):
-    return G.candidate_clusters(node_scores(t), node_edges(t), threshold=0.5)
+    return shared(t, "clusters", lambda: G.candidate_clusters(node_scores(t), node_edges(t), threshold=0.5))
 
 
 def members(t: Tables):
-    return L.zone_members(t.shaped("zones").select("zone_id", "rings"), centres(t).select("pnu", "x", "y"))
+    return shared(t, "members", lambda: L.zone_members(
+        t.shaped("zones").select("zone_id", "rings"), centres(t).select("pnu", "x", "y")))
 
 
 @query("C22_zone_cluster_overlap", CLUSTER_SQL + f""", {ZONE_MEMBERS_SQL},

@@ -12,7 +12,7 @@ from parcelgrid.plans import bootstrap as B, features as FE, folds as K, labels
 from parcelgrid.queries.aggregates import POS_SQL
 from parcelgrid.queries.joins import (
     ABUT_SQL, CENTRES_SQL, PCT_SQL, TARGET_SQL, ZONE_MEMBERS_SQL, ZONING_SQL, centres, land_pct, members)
-from parcelgrid.queries.registry import EDGES_SQL, big, node_edges, old_sql, query, r
+from parcelgrid.queries.registry import EDGES_SQL, big, node_edges, old_sql, query, r, shared
 from parcelgrid.session import durable
 from parcelgrid.standins import Tables
 
@@ -52,7 +52,8 @@ def m1_report(t: Tables):
 
 
 def tables(t: Tables) -> FE.Tables:
-    return FE.Tables(t.shaped("parcels"), durable(asof.building_stock(t.buildings)), t.shaped("zoning"), durable(land_pct(t)), t.stations)
+    return FE.Tables(t.shaped("parcels"), shared(t, "stock", lambda: asof.building_stock(t.buildings)), t.shaped("zoning"),
+                     shared(t, "land", lambda: land_pct(t)), t.stations)
 
 
 FEATURE_SQL = f""", {CENTRES_SQL}, {PCT_SQL}, {ABUT_SQL}{ZONING_SQL},
@@ -85,16 +86,22 @@ def nodes_of(t: Tables):
 SELECT n.pnu, round(coalesce(avg(f.aging), 0), 6) AS nb1_mean_aging, round(coalesce(max(f.rail_prox), 0), 6) AS nb1_max_rail_prox,
  round(coalesce(avg(f.bldg_density), 0), 4) AS nb1_mean_bldg_density FROM nodes n LEFT JOIN edges ON src = n.pnu LEFT JOIN feat f ON f.pnu = dst GROUP BY 1""", uses=FEATURE_USES)
 def g5(t: Tables):
-    a = FE.all_node_features(nodes_of(t), node_edges(t), tables(t))
-    return a.select("pnu", r("nb1_mean_aging").alias("nb1_mean_aging"), r("nb1_max_rail_prox").alias("nb1_max_rail_prox"),
+    return every_node(t).select("pnu", r("nb1_mean_aging").alias("nb1_mean_aging"), r("nb1_max_rail_prox").alias("nb1_max_rail_prox"),
                     r("nb1_mean_bldg_density", 4).alias("nb1_mean_bldg_density"))
 
 
 def matrix(t: Tables):
     """Training matrix with row_id, cx and cy, written once."""
-    m = FE.training_matrix(durable(label_rows(t)), nodes_of(t), node_edges(t), tables(t))
-    m = m.withColumns({"row_id": F.concat_ws("@", "pnu", "t"), "cx": F.col("centroid_x"), "cy": F.col("centroid_y")})
-    return durable(m)
+    def build():
+        m = FE.training_matrix(durable(label_rows(t)), nodes_of(t), node_edges(t), tables(t))
+        return m.withColumns({"row_id": F.concat_ws("@", "pnu", "t"), "cx": F.col("centroid_x"), "cy": F.col("centroid_y")})
+
+    return shared(t, "matrix", build)
+
+
+def every_node(t: Tables):
+    """Features of all nodes at the current year, written once."""
+    return shared(t, "nodes", lambda: FE.all_node_features(nodes_of(t), node_edges(t), tables(t)))
 
 
 TRAIN_SQL = LABEL_SQL + f""", {EDGES_SQL}, tr AS (SELECT l.* FROM labels_ l JOIN nodes USING (pnu) WHERE NOT contaminated AND certainty <> 'uncertain')
@@ -161,9 +168,8 @@ def m7(t: Tables):
 
 @query("M10_production_scores")
 def m10(t: Tables):
-    m, edges, tabs = matrix(t), node_edges(t), tables(t)
-    model, _ = MO.train_production(m, rounds=ROUNDS)
-    return MO.district_scores(model, FE.all_node_features(nodes_of(t), edges, tabs), centres(t))
+    model, _ = MO.train_production(matrix(t), rounds=ROUNDS)
+    return MO.district_scores(model, every_node(t), centres(t))
 
 
 @query("M20_district_scoring")
@@ -178,11 +184,15 @@ def m12(t: Tables):
 
 
 def price_rows(t: Tables):
-    """Price features of every parcel at the reference month."""
+    """Price features of every parcel at the reference month, written once."""
+    return shared(t, "price_rows", lambda: _price_rows(t))
+
+
+def _price_rows(t: Tables):
     target = P.price_target(centres(t), t.trades, current_ym=200001)
     feats = FE.node_features(t.parcels.select("pnu", F.lit(S.CURRENT_YEAR).alias("t")), tables(t))
     level = F.create_map(*[F.lit(v) for kv in S.LEVEL_ORDINAL.items() for v in kv])
-    return durable(target.join(feats, "pnu").withColumn("agg_ord", level[F.col("agg_level")]))
+    return target.join(feats, "pnu").withColumn("agg_ord", level[F.col("agg_level")])
 
 
 def later_trades(t: Tables):
@@ -226,8 +236,8 @@ def m15(t: Tables):
 
 
 def unlabelled_rows(t: Tables):
-    m, edges, tabs = matrix(t), node_edges(t), tables(t)
-    every = durable(FE.all_node_features(nodes_of(t), edges, tabs).join(
+    m, edges = matrix(t), node_edges(t)
+    every = durable(every_node(t).join(
         centres(t).select("pnu", F.col("x").alias("cx"), F.col("y").alias("cy")), "pnu").withColumns(
         {"centroid_x": F.col("cx"), "centroid_y": F.col("cy"), "row_id": F.concat_ws("@", "pnu", F.lit(S.CURRENT_YEAR))}))
     return durable(PU.with_uncertain(m, every)), every, edges
