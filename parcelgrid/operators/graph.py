@@ -128,23 +128,32 @@ def neighbour_features(rows: DataFrame, values: DataFrame, edges: DataFrame, col
     return out.select(*rows.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in new])
 
 
+def _followed(step: DataFrame) -> DataFrame:
+    """Pointers (src, to) replaced by the end of their chain; chains only go down."""
+    while True:
+        hop = step.select(F.col("src").alias("to"), F.col("to").alias("_far"))
+        longer = durable(step.join(hop, "to", "left").select("src", F.coalesce("_far", "to").alias("to"), "_far"))
+        moved = not longer.where(F.col("_far").isNotNull()).isEmpty()
+        release(step)
+        step = longer.select("src", "to")
+        if not moved:
+            return step
+
+
 def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """(pnu, component) of every node on an edge; the component is its smallest id.
 
-    Each round sends every label to its smallest neighbour label, follows
-    those pointers three times and rewrites the edges; edges inside one label
-    vanish. Rounds end when no edge is left.
+    Each round points every label at its smallest neighbour label, follows the
+    pointers to their ends by doubling and rewrites the edges; edges inside one
+    label vanish. Rounds end when no edge is left.
     """
     live = durable(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = live.select(F.col("src").alias("pnu")).distinct().withColumn("component", F.col("pnu"))
     for turn in range(max_rounds):
         if live.isEmpty():
             return nodes
-        step = durable(live.groupBy("src").agg(F.min("dst").alias("to")).where(F.col("to") < F.col("src")))
-        hop = step.select(F.col("src").alias("to"), F.col("to").alias("_far"))
-        for _ in range(3):
-            step = step.join(hop, "to", "left").select("src", F.coalesce("_far", "to").alias("to"))
-        step = durable(step)
+        step = _followed(durable(
+            live.groupBy("src").agg(F.min("dst").alias("to")).where(F.col("to") < F.col("src"))))
         nodes = nodes.join(step.withColumnRenamed("src", "component"), "component", "left").select(
             "pnu", F.coalesce("to", "component").alias("component"))
         ends = step.select(F.col("src").alias("dst"), F.col("to").alias("_dst"))

@@ -18,8 +18,9 @@ CURVE_SQL = """, s AS (SELECT {g} AS fold, {p} AS p, sum(y) AS tp, count(*) AS n
 c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY fold) AS atp, sum(n) OVER (PARTITION BY fold) AS an
  FROM s WINDOW w AS (PARTITION BY fold ORDER BY p DESC)),
 f AS (SELECT *, 2 * (ctp / cn) * (ctp / atp) / (ctp / cn + ctp / atp + 1e-12) AS f1 FROM c),
-b AS (SELECT fold, max(f1) AS best_f1, arg_max(p, (f1, -p)) AS best_thr FROM f GROUP BY 1),
-ap AS (SELECT fold, sum(tp / atp * ctp / cn) AS pr_auc FROM c GROUP BY 1)
+b AS (SELECT fold, CASE WHEN max(atp) BETWEEN 1 AND max(an) - 1 THEN max(f1) END AS best_f1,
+ CASE WHEN max(atp) BETWEEN 1 AND max(an) - 1 THEN arg_max(p, (f1, -p)) ELSE 0.5 END AS best_thr FROM f GROUP BY 1),
+ap AS (SELECT fold, CASE WHEN max(atp) BETWEEN 1 AND max(an) - 1 THEN sum(tp / atp * ctp / cn) END AS pr_auc FROM c GROUP BY 1)
 """
 
 

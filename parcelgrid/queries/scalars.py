@@ -58,13 +58,14 @@ LOCATION = ("CASE ck % 5 WHEN 0 THEN dong || ' ' || main_no || '-' || sub_no WHE
 SELECT ck, CASE WHEN ck % 5 = 3 THEN NULL WHEN ck % 5 = 4 THEN '상도2동' ELSE dong END AS dong,
  CAST(CASE WHEN ck % 5 IN (0, 4) THEN main_no WHEN ck % 5 = 3 THEN NULL ELSE sub_no END AS DOUBLE) AS main_no,
  CAST(CASE WHEN ck % 5 IN (0, 4) THEN sub_no WHEN ck % 5 = 3 THEN NULL ELSE 0 END AS DOUBLE) AS sub_no,
- CASE WHEN ck % 5 = 3 THEN NULL ELSE ck % 5 = 2 END AS is_mountain
+ CAST(CASE WHEN ck % 5 = 3 THEN NULL WHEN ck % 5 = 2 THEN 1 ELSE 0 END AS DOUBLE) AS is_mountain
 FROM parcels""", uses=("parcels",))
 def b5(t: Tables):
     p = t.parcels.selectExpr("ck", f"{LOCATION} AS loc").select(
         big("ck").alias("ck"), A.location_parts(F.col("loc")).alias("s"))
     return p.select("ck", "s.dong", F.col("s.main_no").cast("double").alias("main_no"),
-                    F.col("s.sub_no").cast("double").alias("sub_no"), "s.is_mountain")
+                    F.col("s.sub_no").cast("double").alias("sub_no"),
+                    F.col("s.is_mountain").cast("double").alias("is_mountain"))
 
 
 @query("B6_legal_dong", """

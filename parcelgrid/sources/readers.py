@@ -46,22 +46,14 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str], *, korean:
     """CSV with a header, every column text, selected by name.
 
     ``korean`` reads code page 949, which Spark accepts only with
-    ``spark.sql.legacy.javaCharsets``; the setting is put back afterwards.
+    ``spark.sql.legacy.javaCharsets``. The setting is needed again when the
+    rows are read, so it stays on for the session.
     """
     reader = spark.read.option("header", "true").option("enforceSchema", "false")
     if not korean:
         return reader.csv(path).select(*columns)
-    key = "spark.sql.legacy.javaCharsets"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        df = reader.option("encoding", "x-windows-949").csv(path).select(*columns)
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-    return df
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return reader.option("encoding", "x-windows-949").csv(path).select(*columns)
 
 
 def read_trade_items(spark: SparkSession, path: str) -> DataFrame:
