@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from parcelgrid.functions.shapes import let
+
 
 def _present(c: Column) -> Column:
     return F.when(c != "", c)
@@ -14,19 +16,20 @@ def location_parts(text: Column) -> Column:
 
     The dong stays as written; it must end in 동 or 가.
     """
-    s = F.regexp_replace(F.trim(text), r"\s*(일대|일원)\s*$", "")
-    s = F.regexp_replace(s, " ", "")
+    s = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s*(일대|일원)\s*$", ""), " ", "")
     pattern = r"(?s)^(.*?)(산)?([0-9]+)(?:-([0-9]+))?$"
-    dong = F.regexp_extract(s, pattern, 1)
-    return F.when(
-        dong.rlike("[동가]$"),
-        F.struct(
-            dong.alias("dong"),
-            F.regexp_extract(s, pattern, 3).try_cast("long").alias("main_no"),
-            F.coalesce(F.regexp_extract(s, pattern, 4).try_cast("long"), F.lit(0)).cast("long").alias("sub_no"),
-            (F.regexp_extract(s, pattern, 2) == "산").alias("is_mountain"),
-        ),
-    )
+
+    def parts(v: Column) -> Column:
+        return let(F.regexp_extract(v, pattern, 1), lambda dong: F.when(
+            dong.endswith("동") | dong.endswith("가"),
+            F.struct(
+                dong.alias("dong"),
+                F.regexp_extract(v, pattern, 3).try_cast("long").alias("main_no"),
+                F.coalesce(F.regexp_extract(v, pattern, 4).try_cast("long"), F.lit(0)).cast("long").alias("sub_no"),
+                (F.regexp_extract(v, pattern, 2) == "산").alias("is_mountain"),
+            )))
+
+    return let(s, parts)
 
 
 def legal_dong(dong: Column) -> Column:
@@ -68,18 +71,20 @@ def address_parts(text: Column, district_codes: dict[str, str]) -> Column:
     codes = F.create_map(*[F.lit(v) for kv in district_codes.items() for v in kv])
     code = F.try_element_at(codes, gu)
     road = rest.rlike(r"(로|길)\s*[0-9]") & ~rest.rlike(r"[동가]\s*[0-9]")
-    parts = location_parts(rest)
-    error = (
-        F.when(code.isNull(), "unknown_district")
-        .when(road, "road_address")
-        .when(parts.isNull(), "unparsable_lot")
-    )
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, code).alias("sigungu"),
-        F.when(ok, parts["dong"]).alias("dong"),
-        F.when(ok, legal_dong(parts["dong"])).alias("legal"),
-        F.when(ok, parts["main_no"]).alias("main_no"),
-        F.when(ok, parts["sub_no"]).alias("sub_no"),
-        error.alias("error"),
-    )
+
+    def outcome(parts: Column) -> Column:
+        error = (
+            F.when(code.isNull(), "unknown_district")
+            .when(road, "road_address")
+            .when(parts.isNull(), "unparsable_lot")
+        )
+        return let(error, lambda e: F.struct(
+            F.when(e.isNull(), code).alias("sigungu"),
+            F.when(e.isNull(), parts["dong"]).alias("dong"),
+            F.when(e.isNull(), legal_dong(parts["dong"])).alias("legal"),
+            F.when(e.isNull(), parts["main_no"]).alias("main_no"),
+            F.when(e.isNull(), parts["sub_no"]).alias("sub_no"),
+            e.alias("error"),
+        ))
+
+    return let(location_parts(rest), outcome)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from parcelgrid import settings as S
+from parcelgrid.functions.shapes import let
 
 NUMBER = r"([0-9][0-9,]*\.?[0-9]*)"
 
@@ -36,29 +37,27 @@ def focus_text(text: Column, words: list[str] | None = None, *, extra: Column |
     """
     words = words or S.FOCUS_WORDS
     pattern = F.lit("|".join(words))
-    lines = F.split(text, "\n")
 
     def hit(line: Column) -> Column:
         found = F.regexp_like(line, pattern)
         return found | F.contains(line, extra) if extra is not None else found
 
-    hits = F.filter(F.transform(lines, lambda l, i: F.when(hit(l), i)), lambda i: i.isNotNull())
-    keep = F.array_sort(
-        F.array_distinct(
-            F.flatten(F.transform(hits, lambda i: F.sequence(
-                F.greatest(i - window, F.lit(0)), F.least(i + window, F.size(lines) - 1))))
-        )
-    )
-    marked = F.transform(
-        keep,
-        lambda i, k: F.concat(
-            F.when((k > 0) & (F.get(keep, k - 1) < i - 1), F.lit("…\n")).otherwise(F.lit("")),
-            F.get(lines, i),
-        ),
-    )
-    return F.substring(
-        F.when(F.size(hits) > 0, F.array_join(marked, "\n")).otherwise(text), 1, max_chars
-    )
+    def near(lines: Column) -> Column:
+        """Sorted line numbers to keep; empty without a hit."""
+        hits = F.filter(F.transform(lines, lambda l, i: F.when(hit(l), i)), lambda i: i.isNotNull())
+        last = F.size(lines) - 1
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(
+            F.greatest(i - window, F.lit(0)), F.least(i + window, last))))))
+
+    def joined(lines: Column) -> Column:
+        def show(keep: Column) -> Column:
+            marked = F.transform(keep, lambda i, k: F.concat(
+                F.when((k > 0) & (F.get(keep, k - 1) < i - 1), F.lit("…\n")).otherwise(F.lit("")), F.get(lines, i)))
+            return F.when(F.size(keep) > 0, F.array_join(marked, "\n")).otherwise(text)
+
+        return let(near(lines), show)
+
+    return F.substring(let(F.split(text, "\n"), joined), 1, max_chars)
 
 
 def json_in_reply(reply: Column, schema: str) -> Column:

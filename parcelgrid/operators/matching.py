@@ -45,8 +45,9 @@ def lot_lookup(rows: DataFrame, index: DataFrame, *, out: str = "pnu") -> DataFr
 
 def locate(rows: DataFrame, index: DataFrame, location: Column, *, out: str = "pnu") -> DataFrame:
     """Parse a location text of rows that carry ``sigungu`` and look it up."""
-    parts = A.location_parts(location)
-    parsed = rows.withColumns({"dong": parts["dong"], "main_no": parts["main_no"], "sub_no": parts["sub_no"]})
+    # Parsed once into a column of its own; its fields are only read from there.
+    parsed = rows.withColumn("_loc", A.location_parts(location)).withColumns(
+        {c: F.col(f"_loc.{c}") for c in ("dong", "main_no", "sub_no")}).drop("_loc")
     return lot_lookup(parsed, index, out=out)
 
 
@@ -61,12 +62,10 @@ def scoped_lookup(addresses: DataFrame, detail: DataFrame, wide: DataFrame,
     """
     base = addresses.columns
     s = F.trim(F.col(text))
-    p = A.address_parts(F.col(text), district_codes)
-    rows = addresses.withColumns({
+    rows = addresses.withColumn("_p", A.address_parts(F.col(text), district_codes)).withColumns({
         "_given": F.when(s.rlike("^[0-9]{19}$"), s),
-        "sigungu": p["sigungu"], "dong": p["dong"], "main_no": p["main_no"], "sub_no": p["sub_no"],
-        "_error": p["error"],
-    })
+        **{c: F.col(f"_p.{c}") for c in LOT_KEY}, "_error": F.col("_p.error"),
+    }).drop("_p")
     rows = lot_lookup(rows, detail, out="_full").drop("by_legal")
     rows = lot_lookup(rows, wide, out="_wide").drop("by_legal")
     inside = (known if known is not None else detail).select(F.col("pnu").alias("_given")).distinct()
