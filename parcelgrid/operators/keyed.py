@@ -44,7 +44,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     lhs = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     if heavy:
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = left.sparkSession
+        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
         lhs = lhs.repartition(n, *keys, "_salt")
     rhs = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
