@@ -43,7 +43,7 @@ def static_features(parcels: DataFrame, every: DataFrame, zoning: DataFrame) ->
     shape = graph.static_shape(parcels)
     roads = every.where(F.col("jimok") == S.ROAD_CLASS)
     abut = graph.road_abutting(parcels, roads)
-    zone = zoning_at(L.inner_points(parcels), zoning).drop("zoning_name")
+    zone = zoning_at(durable(L.inner_points(parcels)), zoning).drop("zoning_name")
     return shape.join(abut, "pnu").join(zone, "pnu")
 
 

@@ -12,6 +12,7 @@ from parcelgrid.operators.keyed import new_rows, overlap_report
 from parcelgrid.plans import features as FE, labels as L
 from parcelgrid.queries.ingest import lots
 from parcelgrid.queries.registry import EDGES_SQL, REACH_SQL, SCORES_SQL, big, node_edges, old_sql, query, r, scores_of, shared
+from parcelgrid.session import durable
 from parcelgrid.standins import DISTRICTS, Tables
 
 
@@ -48,7 +49,7 @@ SELECT p.pnu, arg_min(z.zone_id, (z.t, z.zone_id)) AS zone_id, CAST(min(z.t) AS
  ON p.x0 + p.w / 2 > z.x0 AND p.x0 + p.w / 2 < z.x0 + z.w AND p.y0 + p.w / 2 > z.y0 AND p.y0 + p.w / 2 < z.y0 + z.w GROUP BY 1""",
        uses=("parcels", "zones"))
 def c2(t: Tables):
-    pos = L.positives(t.shaped("zones"), L.inner_points(t.shaped("parcels")))
+    pos = L.positives(t.shaped("zones"), durable(L.inner_points(t.shaped("parcels"))))
     return pos.select("pnu", "zone_id", big("t").alias("t"))
 
 
@@ -64,7 +65,7 @@ zbest AS (SELECT * FROM zhit QUALIFY row_number() OVER (PARTITION BY pnu ORDER B
 SELECT p.pnu, coalesce(o, 0)::DOUBLE AS zoning_ord, CASE WHEN a6 IS NULL THEN 1 ELSE 0 END::BIGINT AS zoning_missing, a6 AS zoning_name
 FROM parcels p LEFT JOIN zbest USING (pnu)""", uses=("parcels", "zoning"))
 def c3(t: Tables):
-    z = FE.zoning_at(L.inner_points(t.shaped("parcels")), t.shaped("zoning"))
+    z = FE.zoning_at(durable(L.inner_points(t.shaped("parcels"))), t.shaped("zoning"))
     return z.withColumn("zoning_missing", big("zoning_missing"))
 
 
