@@ -393,11 +393,11 @@ def g1(t: Tables):
         F.count(F.when(F.substring("src", 1, 5) != F.substring("dst", 1, 5), 1)).alias("crossing"))
 
 
-@query("G2_two_hop_closure", f""", {EDGES_SQL},
-s AS (SELECT pnu FROM nodes WHERE ck % 50 = 0), h1 AS (SELECT pnu FROM s UNION SELECT dst FROM edges JOIN s ON src = pnu)
-SELECT pnu FROM h1 UNION SELECT dst FROM edges JOIN h1 ON src = pnu""", uses=("parcels",))
+@query("G2_two_hop_closure", f""", {EDGES_SQL}, {ZONE_MEMBERS_SQL},
+s AS (SELECT pnu FROM nodes WHERE pnu IN (SELECT pnu FROM zm)), h1 AS (SELECT pnu FROM s UNION SELECT dst FROM edges JOIN s ON src = pnu)
+SELECT pnu FROM h1 UNION SELECT dst FROM edges JOIN h1 ON src = pnu""", uses=("parcels", "zones"))
 def g2(t: Tables):
-    seeds = G.node_parcels(t.parcels).where("ck % 50 = 0").select("pnu")
+    seeds = G.node_parcels(t.parcels).select("pnu").join(members(t).select("pnu").distinct(), "pnu", "left_semi")
     return G.closure(seeds, node_edges(t), 2)
 
 
