@@ -140,7 +140,7 @@ def _followed(step: DataFrame) -> DataFrame:
             return step
 
 
-def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(pnu, component) of every node on an edge; the component is its smallest id.
 
     Each round points every label at its smallest neighbour label, follows the
@@ -149,9 +149,7 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """
     live = durable(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = live.select(F.col("src").alias("pnu")).distinct().withColumn("component", F.col("pnu"))
-    for turn in range(max_rounds):
-        if live.isEmpty():
-            return nodes
+    while not live.isEmpty():
         step = _followed(durable(
             live.groupBy("src").agg(F.min("dst").alias("to")).where(F.col("to") < F.col("src"))))
         nodes = nodes.join(step.withColumnRenamed("src", "component"), "component", "left").select(
@@ -160,10 +158,8 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
         moved = live.join(step, "src", "left").join(ends, "dst", "left").select(
             F.coalesce("to", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
         rest = durable(moved.where("src <> dst").distinct())
-        if turn > 0:
-            release(live)
         live = rest
-    raise RuntimeError("components did not settle")
+    return nodes
 
 
 def with_min_size(members: DataFrame, group: str, min_nodes: int) -> DataFrame:
