@@ -19,3 +19,16 @@ def op10(spark, folder):
 
     counts = token_counts(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op6_exact_dedup", r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY t)""")
+def op6(spark, folder):
+    from parcelgrid.llm.common import normalised
+    from parcelgrid.llm.exact_dedup import exact_duplicates
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return exact_duplicates(docs, extra={"text_sha256": F.sha2(normalised(F.col("text")), 256)})
