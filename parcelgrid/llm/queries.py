@@ -32,3 +32,10 @@ def op6(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_duplicates(docs, extra={"text_sha256": F.sha2(normalised(F.col("text")), 256)})
+
+
+@query("op1_minhash_dedup")
+def op1(spark, folder):
+    from parcelgrid.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=3, percent=85)
