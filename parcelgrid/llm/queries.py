@@ -92,3 +92,13 @@ def op5(spark, folder):
 
     return packed(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end=2,
                   digest={"ids_crc32": F.crc32}, with_ids=False)
+
+
+@query("op7_language_mixture")
+def op7(spark, folder):
+    from parcelgrid.llm import language as L
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", L.held_out().alias("held_out"))
+    model = L.trained(L.language_counts(docs.where("NOT held_out")))
+    docs = docs.withColumn("_id", F.struct("doc_id", "held_out"))
+    return L.languages(docs, model, key="_id").select("_id.*", "lang_pred", "score", "langs")
