@@ -102,3 +102,11 @@ def op7(spark, folder):
     model = L.trained(L.language_counts(docs.where("NOT held_out")))
     docs = docs.withColumn("_id", F.struct("doc_id", "held_out"))
     return L.languages(docs, model, key="_id").select("_id.*", "lang_pred", "score", "langs")
+
+
+@query("op9_host_consensus_text")
+def op9(spark, folder):
+    from parcelgrid.llm.html_text import extracted
+
+    texts = extracted(table(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
