@@ -110,3 +110,10 @@ def op9(spark, folder):
 
     texts = extracted(table(spark, folder, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op4_suffix_repetition")
+def op4(spark, folder):
+    from parcelgrid.llm.repetition import repetition
+
+    return repetition(table(spark, folder, "documents"))
