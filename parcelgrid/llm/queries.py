@@ -117,3 +117,11 @@ def op4(spark, folder):
     from parcelgrid.llm.repetition import repetition
 
     return repetition(table(spark, folder, "documents"))
+
+
+@query("op3_site_quality")
+def op3(spark, folder):
+    from parcelgrid.llm.site_quality import classified
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", F.col("lang").alias("path"))
+    return classified(docs, table(spark, folder, "labels"), host="source", path="path")
