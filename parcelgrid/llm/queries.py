@@ -125,3 +125,10 @@ def op3(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", F.col("lang").alias("path"))
     return classified(docs, table(spark, folder, "labels"), host="source", path="path")
+
+
+@query("op8_chat_repair")
+def op8(spark, folder):
+    from parcelgrid.llm.chat import repaired
+
+    return repaired(table(spark, folder, "conversations"))
