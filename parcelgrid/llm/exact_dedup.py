@@ -56,14 +56,14 @@ def equal_rows(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with row numbers ``_rid``, which stay as they are from then on."""
-    return durable(docs.withColumn("_rid", F.monotonically_increasing_id()))
+    """(row, _rid): ``docs`` written once, its columns as ``row``, with row numbers that stay as they are from then on."""
+    return durable(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_rid")))
 
 
 def _classes(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(_rid, keep_id, _keep, group_size) of the rows that have equals."""
-    pairs = durable(equal_rows(rows, normalised(F.col(text))))
-    ids = pairs.join(rows.select("_rid", F.col(key).alias("_key")), "_rid")
+    pairs = durable(equal_rows(rows, normalised(F.col("row")[text])))
+    ids = pairs.join(rows.select("_rid", F.col("row")[key].alias("_key")), "_rid")
     first = F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_rid"))).alias("_first")
     groups = durable(ids.groupBy("_gid").agg(first, F.count(F.lit(1)).alias("group_size")).select(
         "_gid", F.col("_first._key").alias("keep_id"), F.col("_first._rid").alias("_keep"), "group_size"))
@@ -72,7 +72,7 @@ def _classes(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                      extra: dict[str, Column] | None = None) -> DataFrame:
-    """(key, keep_id, group_size, kept) of every row, and ``extra`` columns made of the row.
+    """(key, keep_id, group_size, kept) of every row, and ``extra`` columns made of its columns.
 
     Texts are equal when they are identical after each run of white space is
     one blank; null counts as empty, and empty texts are equal to one another.
@@ -80,16 +80,18 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     first one read does; a null key comes after all others. Extra columns of
     ``docs`` are not looked at.
     """
+    extra = extra or {}
     rows = numbered(docs)
-    return rows.select("_rid", F.col(key), *[c.alias(n) for n, c in (extra or {}).items()]).join(
+    own = F.col("row")[key]
+    return rows.select("_rid", own.alias("_key"), *[c.alias(n) for n, c in extra.items()]).join(
         _classes(rows, key, text), "_rid", "left").select(
-            key, F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.col("_key").alias(key), F.when(F.col("group_size").isNull(), F.col("_key")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-            F.coalesce(F.col("_keep") == F.col("_rid"), F.lit(True)).alias("kept"), *(extra or {}))
+            F.coalesce(F.col("_keep") == F.col("_rid"), F.lit(True)).alias("kept"), *extra)
 
 
 def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = numbered(docs)
     gone = durable(_classes(rows, key, text).where("_keep <> _rid").select("_rid"))
-    return rows.join(if_small(gone), "_rid", "left_anti").select(*docs.columns)
+    return rows.join(if_small(gone), "_rid", "left_anti").select("row.*")

@@ -48,44 +48,45 @@ def uniform(*parts: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(docs: DataFrame, *, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+def drawn(docs: DataFrame, *, size: Column | None = None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
           key: str = "doc_id", source: str = "source", seed: str = "mix") -> DataFrame:
-    """All columns of ``docs`` plus _size, _source_size, _target and _copies.
+    """(row, size, source_size, target, copies) of every row of ``docs``; row holds all its columns.
 
+    ``size`` is the tokens of a row, the words of its text unless given.
     ``weights`` repeat over the sources in code-point order, a null source
     last. One row per source comes to the driver. Rows without words are drawn
     like others; a source without any words has target 0 and no copies. Rows
     that repeat a key are drawn each. The result depends on keys, sources and
-    sizes only, so reruns agree.
+    sizes only, so reruns agree; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("_size", size)
-    width = F.length(F.bin("_size"))
-    strata = durable(sized.groupBy(F.col(source).alias("_of"), width.alias("_width")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum("_size").alias("_sum")))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), F.col(source).alias("_source"),
+                        (word_count(F.col("text")) if size is None else size).alias("size"))
+    width = F.length(F.bin("size"))
+    strata = durable(sized.groupBy(F.col("_source").alias("_of"), width.alias("_width")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_sum")))
     totals = strata.groupBy("_of").agg(F.sum("_sum").alias("n")).orderBy(F.asc_nulls_last("_of")).collect()
     weight = [float(weights[i % len(weights)]) for i in range(len(totals))]
     goal = targets([t.n for t in totals], weight, share, cap)
     plan = [(t["_of"], t.n, g, g / t.n if t.n else 0.0) for t, g in zip(totals, goal)]
     kind = docs.schema[source].dataType.simpleString()
-    table = spark.createDataFrame(plan, f"_of {kind}, _source_size bigint, _target double, _rate double")
-    parts = durable(strata.join(F.broadcast(table), strata["_of"].eqNullSafe(table["_of"])).select(
+    table = spark.createDataFrame(plan, f"_of {kind}, source_size bigint, target double, _rate double")
+    parts = durable(strata.join(table, strata["_of"].eqNullSafe(table["_of"])).select(
         strata["_of"], "_width", F.ceil(F.col("_rows") / F.lit(STRATUM_ROWS)).cast("int").alias("_parts"),
-        "_source_size", "_target", "_rate"))
+        "source_size", "target", "_rate"))
     near = if_small(parts)
-    one = sized.withColumn("_w", width)
-    rows = one.join(near, one[source].eqNullSafe(near["_of"]) & (one["_w"] == near["_width"]))
-    rows = rows.withColumn("_part", F.floor(uniform(F.col(key), F.lit(seed)) * F.col("_parts")).cast("int"))
-    i = F.row_number().over(Window.partitionBy("_of", "_width", "_part").orderBy(F.desc("_size"), key)) - 1
+    rows = sized.withColumn("_w", width)
+    rows = rows.join(near, rows["_source"].eqNullSafe(near["_of"]) & (rows["_w"] == near["_width"])).withColumn(
+        "_part", F.floor(uniform(F.col("_key"), F.lit(seed)) * F.col("_parts")).cast("int"))
+    number = F.row_number().over(Window.partitionBy("_of", "_width", "_part").orderBy(F.desc("size"), "_key")) - 1
     start = uniform(F.col("_of"), F.col("_width"), F.col("_part"), F.lit(seed))
     part = F.col("_rate") - F.floor("_rate")
-    drawn = rows.withColumn("_i", i)
     more = F.floor(start + (F.col("_i") + 1) * part) - F.floor(start + F.col("_i") * part)
-    return drawn.withColumn("_copies", (F.floor("_rate") + more).cast("bigint")).select(
-        *docs.columns, "_size", "_source_size", "_target", "_copies")
+    return rows.withColumn("_i", number).select(
+        "row", "size", "source_size", "target", (F.floor("_rate") + more).cast("bigint").alias("copies"))
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: each row of ``docs`` as often as it is taken."""
-    made = mixed(docs, size=word_count(F.col("text")), **options).where("_copies > 0")
-    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    """The rows of the mix: each row of ``docs`` as often as it is taken, with all its columns."""
+    made = drawn(docs, **options).where("copies > 0")
+    return made.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

@@ -31,7 +31,7 @@ def op6(spark, folder):
     from parcelgrid.llm.exact_dedup import exact_duplicates
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return exact_duplicates(docs, extra={"text_sha256": F.sha2(normalised(F.col("text")), 256)})
+    return exact_duplicates(docs, extra={"text_sha256": F.sha2(normalised(F.col("row.text")), 256)})
 
 
 @query("op1_minhash_dedup")
@@ -78,12 +78,11 @@ FROM drawn"""
 
 @query("op2_source_mix", MIX_SQL)
 def op2(spark, folder):
-    from parcelgrid.llm.mixing import mixed, word_count
+    from parcelgrid.llm.mixing import drawn, word_count
 
-    docs = table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = (F.col("_size") * F.col("_copies")).alias("taken")
-    return mixed(docs, size=F.col("size")).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken)
+    docs = table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return drawn(docs, size=F.col("words")).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 @query("op5_packing")
