@@ -28,7 +28,8 @@ ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assi
 #: States: nothing yet, then the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
 FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-MERGE, RELABEL, GUESS, INSERT = 2, 4, 1, 5
+#: Costs: a known role is changed only where merging and inserting cost more.
+MERGE, RELABEL, GUESS, INSERT = 2, 8, 1, 5
 FAR = 1 << 40
 OPEN, CLOSE, JOIN = "<|{}|>\n", "<|end|>\n", "\n\n"
 

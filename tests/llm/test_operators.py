@@ -287,7 +287,7 @@ def test_pipeline_stages(spark, docs, nothing):
     language_ids, exact, near, mix, packed = seen
     assert not {4, 5, 6} & set(language_ids) and {1, 3, 7, 9, 10, 12, 14, 15} <= set(language_ids)
     assert exact.count(9) == 1 and not {2, 11} & set(exact) and {1, 3, 7, 8, 10} <= set(exact)
-    left = {r[0]: r[1] for r in ROWS if r[0] in exact}
+    left = {r[0]: r[1] for r in ROWS if r[0] is not None and r[0] in exact}
     assert sorted(x for x in near if x is not None) == sorted({c for _, c in near_brute(list(left.items()), 5, 80).values()})
     assert set(mix) <= set(near) and set(packed) == set(mix)
     for _, stage in corpus_pipeline.STAGES:
