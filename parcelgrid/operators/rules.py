@@ -126,8 +126,7 @@ def permit_status(property_type: Column, *, in_complex: Column | None = None, ap
     return F.struct(
         applies.alias("permit_applies"), (~duty).alias("gap_investment_possible"), duty.alias("residence_duty"),
         F.lit(S.PERMIT_BASIS_DATE).alias("basis_date"),
-        F.array(F.lit("★토허는 수시로 지정·해제됩니다. 위 판정은 " + S.PERMIT_BASIS_DATE
-                      + " 기준이며, 매 사용 시 현행 고시를 재확인하세요.")).alias("caveats"),
+        F.array(F.lit(S.PERMIT_CAVEAT)).alias("caveats"),
     )
 
 
@@ -143,6 +142,7 @@ def stage_remaining(stage: Column, in_zone: Column) -> Column:
         hit["min"].alias("min_years"), hit["max"].alias("max_years"), hit["typical"].alias("typical_years"),
         F.when(~in_zone, S.NOTE_OUTSIDE_ZONE).when(~given, S.NOTE_NO_STAGE)
         .when(~known, S.NOTE_UNKNOWN_STAGE).alias("note"),
+        F.when(known, F.array(F.lit(S.STAGE_CAVEAT))).otherwise(F.array().cast("array<string>")).alias("caveats"),
     )
 
 

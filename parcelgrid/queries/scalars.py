@@ -339,15 +339,16 @@ def b29(t: Tables):
 
 
 @query("B31_verdict", """
-SELECT id, CASE WHEN id % 5 = 0 THEN '지정 정비구역' WHEN id % 3 = 0 THEN '환경 유사 후보(미지정)'
- WHEN v <= 10 THEN '관심(경계 밖)' ELSE '대상 아님' END AS class,
- CASE WHEN id % 5 <> 0 AND id % 3 <> 0 AND v > 10 THEN '환경 유사 상위 ' || v || '%. 재개발 환경과 거리가 있어 현 시점 대상이 아닙니다. 단정 아님.' END AS headline
-FROM (SELECT id, round(p * 50, 1) AS v FROM judged)""", uses=("judged",))
+SELECT id, class, CASE class WHEN '지정 정비구역' THEN '이미 구역으로 지정된 필지. 노후 환경 순위 ' || phrase || ' (지정과 별개인 비교값).'
+ WHEN '환경 유사 후보(미지정)' THEN '지정 기록은 없으나 비슷한 필지 묶음에 포함. 순위 ' || phrase || '. 기록 누락 여부를 확인하십시오.'
+ WHEN '관심(경계 밖)' THEN '묶음에는 들지 않았으나 순위가 높음: ' || phrase || '. 변화를 지켜볼 필지.'
+ ELSE '순위 ' || phrase || '. 검토 기준에 미치지 못함.' END AS headline
+FROM (SELECT id, CASE WHEN id % 5 = 0 THEN '지정 정비구역' WHEN id % 3 = 0 THEN '환경 유사 후보(미지정)' WHEN v <= 10 THEN '관심(경계 밖)' ELSE '대상 아님' END AS class,
+ CASE WHEN v <= 50 THEN '상위 ' || v || '%' ELSE '하위 ' || round(100 - v, 1) || '%' END AS phrase FROM (SELECT id, round(p * 50, 1) AS v FROM judged))""", uses=("judged",))
 def b31(t: Tables):
     top = F.round(F.col("p") * 50, 1)
     v = verdict(F.col("id") % 5 == 0, F.col("id") % 3 == 0, top, C.rank_phrase(top))
-    return t.judged.select(big("id").alias("id"), v.alias("v")).select(
-        "id", "v.class", F.when(F.col("v.class") == S.CLASS_NONE, F.col("v.headline")).alias("headline"))
+    return t.judged.select(big("id").alias("id"), v.alias("v")).select("id", "v.class", "v.headline")
 
 
 @query("B35_address_parts", """
