@@ -28,12 +28,12 @@ def squeeze(text: Column) -> Column:
 
 
 def focus_text(text: Column, words: list[str] | None = None, *, extra: Column | None = None,
-               window: int = 2, max_chars: int = S.FOCUS_MAX_CHARS) -> Column:
+               window: int = 2, max_chars: int | None = None) -> Column:
     """Lines within ``window`` of a keyword line, gaps marked with '…'.
 
     Works inside one row: hits are spread to their neighbours on the line
-    array, so nothing is exploded or shuffled. Without a hit the head of the
-    text is kept.
+    array, so nothing is exploded or shuffled. Without a hit the whole text is
+    kept. ``max_chars`` cuts the result for readers with a limit of their own.
     """
     words = words or S.FOCUS_WORDS
     pattern = F.lit("|".join(words))
@@ -57,7 +57,8 @@ def focus_text(text: Column, words: list[str] | None = None, *, extra: Column |
 
         return let(near(lines), show)
 
-    return F.substring(let(F.split(text, "\n"), joined), 1, max_chars)
+    found = let(F.split(text, "\n"), joined)
+    return found if max_chars is None else F.substring(found, 1, max_chars)
 
 
 def json_in_reply(reply: Column, schema: str) -> Column:

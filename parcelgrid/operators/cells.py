@@ -76,17 +76,19 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, *, left_id:
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, *, point_id: list[str], on: list[str] | None = None,
-                 payload: list[str] | None = None, base_m: float = 250.0,
-                 extent_m: float = 2_000_000.0) -> DataFrame:
+                 payload: list[str] | None = None, base_m: float = 250.0) -> DataFrame:
     """Exact nearest site (sx, sy) of each point (x, y); ``dist`` and the site's payload.
 
-    Grid levels grow by four. The level at which the 3 x 3 cells around a
-    point first hold a site bounds the distance by 2.83 cells, so the 3 x 3
-    cells one level up must hold the nearest one. Both steps are equi joins;
-    points without any site under ``on`` are dropped.
+    Grid levels grow by four, up to a cell as wide as points and sites reach
+    together. The level at which the 3 x 3 cells around a point first hold a
+    site bounds the distance by 2.83 cells, so the 3 x 3 cells one level up
+    must hold the nearest one. Both steps are equi joins; points without any
+    site under ``on`` are dropped.
     """
     on, payload = on or [], payload or []
-    top = max(1, math.ceil(math.log(extent_m / base_m, 4))) + 1
+    reached = points.select("x", "y").union(sites.select("sx", "sy")).agg(
+        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("m")).first()["m"]
+    top = max(1, math.ceil(math.log(max(reached or 0.0, base_m) / base_m, 4)))
     levels = F.array(*[F.lit(v) for v in range(top + 1)])
     size = F.lit(base_m) * F.pow(F.lit(4.0), F.col("_lvl"))
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])

@@ -27,7 +27,7 @@ def b32_clean(t: Tables):
 keep AS (SELECT DISTINCT l.doc_id, l.i, l.line FROM lines l JOIN hits h ON l.doc_id = h.doc_id AND l.i BETWEEN h.i - 2 AND h.i + 2),
 marked AS (SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1 THEN '…' || chr(10) ELSE '' END || line AS s FROM keep),
 joined AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) AS f FROM marked GROUP BY doc_id)
-SELECT d.doc_id, md5(substr(coalesce(f, text), 1, 14000)) AS digest, length(substr(coalesce(f, text), 1, 14000)) AS n
+SELECT d.doc_id, md5(coalesce(f, text)) AS digest, length(coalesce(f, text)) AS n
 FROM documents d LEFT JOIN joined USING (doc_id)""")
 def b32_focus(t: Tables):
     f = X.focus_text(F.col("text"), ["tion", "ou qu"])
