@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_PER_TASK = 500_000
@@ -24,6 +26,18 @@ def nulls_last(c: Column) -> list[Column]:
     return [c.isNull().cast("int"), c]
 
 
+def match_left(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str] | None = None) -> DataFrame:
+    """Left equi join in which left rows with a null key are dealt over all tasks.
+
+    Such rows match nothing; without care they all hash to one partition.
+    ``spread`` are the left columns whose hash deals them, all others by default.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    by = spread or [c for c, kind in left.dtypes if c not in keys and not kind.startswith(("map", "struct", "array<map"))] or keys
+    dealt = left.withColumn("_deal", F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.lit(4096)).cast("int")))
+    return dealt.join(right.withColumn("_deal", F.lit(0)), [*keys, "_deal"], "left").drop("_deal")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], *,
                 how: str = "inner", rows_per_task: int = ROWS_PER_TASK, heavy: bool = False) -> DataFrame:
     """Equi join whose left side may hold hot keys.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelgrid import settings as S
 from parcelgrid.functions import address as A, titles as N
 from parcelgrid.functions.ids import district_of
+from parcelgrid.operators.keyed import match_left
 
 LOT_KEY = ["sigungu", "dong", "main_no", "sub_no"]
 
@@ -31,11 +32,10 @@ def lot_lookup(rows: DataFrame, index: DataFrame, *, out: str = "pnu") -> DataFr
     first = index.select(*LOT_KEY, F.col("pnu").alias("_p1"))
     second = index.select("sigungu", F.col("dong").alias("_legal"), "main_no", "sub_no", F.col("pnu").alias("_p2"))
     legal = A.legal_dong(F.col("dong"))
-    hit = (
-        rows.withColumn("_legal", F.when(legal != F.col("dong"), legal))
-        .join(first, LOT_KEY, "left")
-        .join(second, ["sigungu", "_legal", "main_no", "sub_no"], "left")
-    )
+    hit = match_left(rows.withColumn("_legal", F.when(legal != F.col("dong"), legal)), first, LOT_KEY)
+    # Only what the first look-up missed goes on to the second.
+    hit = hit.withColumn("_legal", F.when(F.col("_p1").isNull(), F.col("_legal")))
+    hit = match_left(hit, second, ["sigungu", "_legal", "main_no", "sub_no"])
     return hit.select(
         *rows.columns,
         F.coalesce("_p1", "_p2").alias(out),
@@ -69,7 +69,7 @@ def scoped_lookup(addresses: DataFrame, detail: DataFrame, wide: DataFrame,
     rows = lot_lookup(rows, detail, out="_full").drop("by_legal")
     rows = lot_lookup(rows, wide, out="_wide").drop("by_legal")
     inside = (known if known is not None else detail).select(F.col("pnu").alias("_given")).distinct()
-    rows = rows.join(inside.withColumn("_in", F.lit(True)), "_given", "left")
+    rows = match_left(rows, inside.withColumn("_in", F.lit(True)), ["_given"])
     given = F.col("_given").isNotNull()
     pnu = F.coalesce("_given", "_full", "_wide")
     return rows.select(
@@ -95,19 +95,21 @@ def resolve_notices(targets: DataFrame, index: DataFrame) -> DataFrame:
     )
     i = index.select("number", F.col("date").alias("_idate"), "url", "title",
                      N.name_core(F.col("title")).alias("_icore"))
-    on_date = (F.col("_date") != "") & (F.col("_idate") == F.col("_date"))
-    named = (F.col("_core") != "") & (F.col("_icore") == F.col("_core"))
-    row, order = F.struct("url", "title"), F.struct("url", "title")
-    seen = (
-        t.join(i, "number", "left").groupBy("target_id", "number", "_core").agg(
-            F.count("url").alias("_n"),
-            F.count(F.when(on_date, 1)).alias("_nd"),
-            F.min_by(row, F.when(named, order)).alias("_name"),
-            F.min_by(row, F.when(named & on_date, order)).alias("_name_date"),
-            F.min_by(row, F.when(on_date, order)).alias("_on_date"),
-            F.min_by(row, F.when(F.col("url").isNotNull(), order)).alias("_any"),
-        )
-    )
+    # The index is summed up per key first, so each target meets one row however many notices share its number.
+    row = F.struct("url", "title")
+    least = F.min(row)
+    every = i.groupBy("number").agg(F.count("url").alias("_n"), F.min_by(row, F.when(F.col("url").isNotNull(), row)).alias("_any"))
+    dated = i.where("_idate <> ''").groupBy("number", F.col("_idate").alias("_date")).agg(
+        F.count(F.lit(1)).alias("_nd"), least.alias("_on_date"))
+    cores = i.where("_icore <> ''")
+    named = cores.groupBy("number", F.col("_icore").alias("_core")).agg(least.alias("_name"))
+    both = cores.where("_idate <> ''").groupBy("number", F.col("_icore").alias("_core"), F.col("_idate").alias("_date")).agg(
+        least.alias("_name_date"))
+    seen = t
+    for summed, keys in ((every, ["number"]), (dated, ["number", "_date"]), (named, ["number", "_core"]),
+                         (both, ["number", "_core", "_date"])):
+        seen = match_left(seen, summed, keys)
+    seen = seen.withColumns({"_n": F.coalesce("_n", F.lit(0)), "_nd": F.coalesce("_nd", F.lit(0))})
     narrowed = F.col("_nd") > 0
     with_name = F.when(narrowed, F.col("_name_date")).otherwise(F.col("_name"))
     only = F.when(narrowed & (F.col("_nd") == 1), F.col("_on_date")).when(
