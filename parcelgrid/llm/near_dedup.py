@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _proposed(nodes: DataFrame) -> DataFrame:
-    """(a, b) pairs of nodes that meet in a bucket, each member with the bucket's two centres.
+    """(a, b): each node with the two centres of each of its buckets.
 
     The order that picks the centres differs from bucket to bucket, so members
     of a large family meet many centres, and no bucket is paired with itself.
@@ -96,8 +96,7 @@ def _proposed(nodes: DataFrame) -> DataFrame:
     met = durable(rows.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi"))
     ends = [F.col(c).bitwiseXOR(F.col("bucket")) for c in ("lo", "hi")]
     pairs = rows.join(met, "bucket").select("node", F.explode(F.array(*ends)).alias("centre"))
-    return pairs.where("node <> centre").select(
-        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return pairs.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def _families(nodes: DataFrame, percent: int) -> DataFrame:
@@ -114,8 +113,11 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     pairs = durable(_proposed(nodes))
     one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    edges = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint")
-    found = components(both_ways(durable(edges), "a", "b"))
+    edges = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint"))
+    # A node's centres are tied to the smallest of them, and it alone to the node: members of a family share their centres.
+    least_centre = durable(edges.groupBy("a").agg(F.min("b").alias("low")))
+    ties = edges.join(least_centre, "a").where("b <> low").select("b", "low").distinct()
+    found = components(both_ways(least_centre.union(ties), "a", "low"))
     return durable(found.select(F.col("pnu").alias("node"), F.col("component").alias("family")))
 
 
