@@ -426,16 +426,19 @@ def t2(t: Tables):
  avg(abut_ratio) AS m4, stddev_pop(abut_ratio) AS s4 FROM m),
 z AS (SELECT zone_id, [coalesce((old_ratio - m1) / nullif(s1, 0), 0), coalesce((round(ha, 3) - m2) / nullif(s2, 0), 0), coalesce((house_density - m3) / nullif(s3, 0), 0), coalesce((abut_ratio - m4) / nullif(s4, 0), 0)] AS v FROM m, st),
 u AS (SELECT zone_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM z),
-k AS (SELECT a.zone_id AS query_id, b.zone_id AS case_id, list_dot_product(a.v, b.v) AS sim FROM u a, u b
- QUALIFY row_number() OVER (PARTITION BY a.zone_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.zone_id) = 1)
-SELECT query_id, round(sim, 4) AS similarity FROM k""", uses=("parcels", "buildings", "zones"))
+k AS (SELECT a.zone_id AS query_id, b.zone_id AS case_id, list_dot_product(a.v, b.v) AS sim,
+ list_sort(list_transform(generate_series(1, 4), lambda i: {'o': -(a.v[i] * b.v[i]), 'i': i})) AS parts FROM u a, u b
+ QUALIFY row_number() OVER (PARTITION BY a.zone_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.zone_id) <= 3)
+SELECT query_id, case_id, round(sim, 4) AS similarity,
+ array_to_string(list_transform(list_filter(parts, lambda p: p.o < 0)[1:2], lambda p: ['노후도', '면적', '호수밀도', '접도율'][p.i]), ' ') AS top_axes
+FROM k WHERE query_id <> case_id""", uses=("parcels", "buildings", "zones"))
 def t2_zones(t: Tables):
     from parcelgrid.session import durable
 
     v = durable(SI.zone_vectors(zone_metrics(t)))
     q, c = v.select(F.col("zone_id").alias("query_id"), "vec"), v.select(F.col("zone_id").alias("case_id"), "vec")
-    m = SI.with_top_axes(SI.cosine_topk(q, c, k=1), q, c)
-    return m.select("query_id", r("similarity", 4).alias("similarity"))
+    m = SI.with_top_axes(SI.cosine_topk(q, c, k=3), q, c).where("query_id <> case_id")
+    return m.select("query_id", "case_id", r("similarity", 4).alias("similarity"), F.array_join("top_axes", " ").alias("top_axes"))
 
 
 @query("T3_recency_order", TOPK_SQL + "SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST, rank) AS recency_rank FROM k")

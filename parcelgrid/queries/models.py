@@ -82,12 +82,30 @@ def nodes_of(t: Tables):
     return G.node_parcels(t.parcels)
 
 
-@query("G5_all_node_features", FEATURE_SQL.replace("{t}", "2026") + f""", {EDGES_SQL}
-SELECT n.pnu, round(coalesce(avg(f.aging), 0), 6) AS nb1_mean_aging, round(coalesce(max(f.rail_prox), 0), 6) AS nb1_max_rail_prox,
- round(coalesce(avg(f.bldg_density), 0), 4) AS nb1_mean_bldg_density FROM nodes n LEFT JOIN edges ON src = n.pnu LEFT JOIN feat f ON f.pnu = dst GROUP BY 1""", uses=FEATURE_USES)
+def _neighbour_sql(node: str, keys: str, values: str, columns: list[str]) -> str:
+    """Mean and largest value over the neighbours of each row of ``node``, 0 without any."""
+    picked = ", ".join(f"coalesce(avg(v.{c}), 0) AS mean_{c}, coalesce(max(v.{c}), 0) AS max_{c}" for c in columns)
+    on = " AND ".join(["v.pnu = dst", *(f"v.{k} = n.{k}" for k in keys.split(", ")[1:])])
+    grouped = ", ".join(f"n.{k}" for k in keys.split(", "))
+    return f"SELECT {grouped}, {picked} FROM {node} n LEFT JOIN edges ON src = n.pnu LEFT JOIN {values} v ON {on} GROUP BY {grouped}"
+
+
+MEANS = [f"mean_{c}" for c in S.NODE_FEATURES]
+ALL_FEATURES = [*S.NODE_FEATURES, *[f"nb{h}_{s}_{c}" for h in (1, 2) for s in ("mean", "max") for c in S.NODE_FEATURES]]
+ALL_COLS = ", ".join([*[f"round(f.{c}, 9)::DOUBLE AS {c}" for c in S.NODE_FEATURES],
+                      *[f"round(h1.{s}_{c}, 9)::DOUBLE AS nb1_{s}_{c}" for s in ("mean", "max") for c in S.NODE_FEATURES],
+                      *[f"round(h2.{s}_mean_{c}, 9)::DOUBLE AS nb2_{s}_{c}" for s in ("mean", "max") for c in S.NODE_FEATURES]])
+
+
+def hops_sql(node: str, keys: str) -> str:
+    return (f"h1 AS ({_neighbour_sql(node, keys, 'feat', S.NODE_FEATURES)}),\n"
+            f"h2 AS ({_neighbour_sql(node, keys, 'h1', MEANS)})\n")
+
+
+@query("G5_all_node_features", FEATURE_SQL.replace("{t}", "2026") + f", {EDGES_SQL}, " + hops_sql("nodes", "pnu")
+       + f"SELECT f.pnu, {ALL_COLS} FROM nodes JOIN feat f USING (pnu) JOIN h1 USING (pnu) JOIN h2 USING (pnu)", uses=FEATURE_USES)
 def g5(t: Tables):
-    return every_node(t).select("pnu", r("nb1_mean_aging").alias("nb1_mean_aging"), r("nb1_max_rail_prox").alias("nb1_max_rail_prox"),
-                    r("nb1_mean_bldg_density", 4).alias("nb1_mean_bldg_density"))
+    return every_node(t).select("pnu", *[r(c, 9).alias(c) for c in ALL_FEATURES])
 
 
 def matrix(t: Tables):
@@ -108,13 +126,17 @@ TRAIN_SQL = LABEL_SQL + f""", {EDGES_SQL}, tr AS (SELECT l.* FROM labels_ l JOIN
 """
 
 
-@query("M3_training_matrix", TRAIN_SQL + """
-SELECT pnu, CAST(t AS BIGINT) AS t, CASE WHEN certainty = 'positive' THEN 1 ELSE 0 END::BIGINT AS y, substr(pnu, 1, 5) AS sigungu, 53::BIGINT AS n_columns FROM tr""",
-       uses=("parcels", "buildings", "zones"))
+MATRIX_SQL = (TRAIN_SQL + ", nt AS (SELECT nodes.pnu, y.t FROM nodes, (SELECT DISTINCT t FROM tr) y)"
+              + FEATURE_SQL.replace("SELECT pnu, CAST({t} AS INT) AS t FROM parcels", "SELECT pnu, CAST(t AS INT) AS t FROM nt")
+              + ", " + hops_sql("nt", "pnu, t"))
+
+
+@query("M3_training_matrix", MATRIX_SQL + f"""
+SELECT tr.pnu, CAST(tr.t AS BIGINT) AS t, CASE WHEN certainty = 'positive' THEN 1 ELSE 0 END::BIGINT AS y, substr(tr.pnu, 1, 5) AS sigungu, {ALL_COLS}
+FROM tr JOIN feat f ON f.pnu = tr.pnu AND f.t = tr.t JOIN h1 ON h1.pnu = tr.pnu AND h1.t = tr.t JOIN h2 ON h2.pnu = tr.pnu AND h2.t = tr.t""",
+       uses=(*FEATURE_USES, "zones"))
 def m3(t: Tables):
-    m = matrix(t)
-    n = len([c for c in m.columns if c not in ("row_id", "cx", "cy", "certainty", "neg_reason", "zone_id", "sigungu", "y")]) - 1
-    return m.select("pnu", big("t").alias("t"), big("y").alias("y"), "sigungu", F.lit(n).cast("bigint").alias("n_columns"))
+    return matrix(t).select("pnu", big("t").alias("t"), big("y").alias("y"), "sigungu", *[r(c, 9).alias(c) for c in ALL_FEATURES])
 
 
 @query("M3_matrix_report", LABEL_SQL + f""", {EDGES_SQL}, x AS (SELECT l.*, pnu IN (SELECT pnu FROM nodes) AS ok FROM labels_ l)
