@@ -16,7 +16,8 @@ from parcelgrid.queries.registry import EDGES_SQL, big, node_edges, old_sql, que
 from parcelgrid.session import durable
 from parcelgrid.standins import Tables
 
-ROUNDS = 5
+#: Rounds at most, as the jobs' own default; fits with validation rows stop earlier (`fit_classifier`).
+ROUNDS = 100
 
 CANC_SQL = "canc AS (SELECT pnu, CAST(2010 + ck % 12 AS INT) AS t FROM parcels WHERE ck % 9 = 4)"
 LABEL_SQL = f""", {ZONE_MEMBERS_SQL}, {old_sql('2026')}, {POS_SQL}, {CANC_SQL},
@@ -155,14 +156,14 @@ def fold_rows(t: Tables):
 
 @query("M4_buffered_folds", f""", {CENTRES_SQL}, {EDGES_SQL}, d AS (SELECT DISTINCT sigungu AS fold FROM parcels),
 tr AS (SELECT fold, c.* FROM d JOIN centres c ON c.sigungu <> fold), te AS (SELECT fold, c.* FROM d JOIN centres c ON c.sigungu = fold),
-geo AS (SELECT DISTINCT tr.fold, tr.pnu FROM tr JOIN te ON te.fold = tr.fold AND pow(te.x - tr.x, 2) + pow(te.y - tr.y, 2) < 3600),
+geo AS (SELECT DISTINCT tr.fold, tr.pnu FROM tr JOIN te ON te.fold = tr.fold AND pow(te.x - tr.x, 2) + pow(te.y - tr.y, 2) < 40000),
 h1 AS (SELECT fold, dst AS pnu FROM te JOIN edges ON src = te.pnu), h AS (SELECT fold, pnu FROM h1 UNION SELECT fold, dst FROM h1 JOIN edges ON src = h1.pnu)
 SELECT tr.fold, count(*) AS train_before, count(h.pnu) AS removed_graph_hop, count(geo.pnu) AS removed_geom, count(*) FILTER (h.pnu IS NOT NULL OR geo.pnu IS NOT NULL) AS removed_total,
  count(*) FILTER (h.pnu IS NULL AND geo.pnu IS NULL) AS train_after, (SELECT count(*) FROM te WHERE te.fold = tr.fold) AS n_test
 FROM tr LEFT JOIN h ON h.fold = tr.fold AND h.pnu = tr.pnu LEFT JOIN geo ON geo.fold = tr.fold AND geo.pnu = tr.pnu GROUP BY tr.fold""", uses=("parcels",))
 def m4(t: Tables):
     rows = fold_rows(t)
-    return K.buffer_report(durable(K.buffered(K.district_folds(rows), rows, node_edges(t), buffer_m=60.0)))
+    return K.buffer_report(durable(K.buffered(K.district_folds(rows), rows, node_edges(t))))
 
 
 @query("M5_zone_groups")
@@ -184,7 +185,7 @@ def m6(t: Tables):
 @query("M7_cross_validation")
 def m7(t: Tables):
     m = matrix(t)
-    oof = MO.cross_validate(m, node_edges(t), production_features(m.columns), rounds=ROUNDS, buffer_m=20.0)
+    oof = MO.cross_validate(m, node_edges(t), production_features(m.columns), rounds=ROUNDS)
     return MO.cv_report(oof)
 
 
@@ -302,7 +303,7 @@ def m17(t: Tables):
 def m18(t: Tables):
     m = matrix(t)
     sets = feature_sets(m.columns)
-    return MO.ablation(m, node_edges(t), {"B1": sets["B1"], "no_location": [c for c in sets["B1"] if c not in S.LOCATION_FEATURES]}, rounds=3)
+    return MO.ablation(m, node_edges(t), {"B1": sets["B1"], "no_location": [c for c in sets["B1"] if c not in S.LOCATION_FEATURES]}, rounds=ROUNDS)
 
 
 @query("M19_block_bootstrap")
