@@ -11,7 +11,7 @@ from parcelgrid.functions.project import to_degrees, to_target
 from parcelgrid.operators.matching import lot_index
 from parcelgrid.queries.registry import big, query, r, scores_of, old_sql, SCORES_SQL
 from parcelgrid.queries.scalars import STRUCTURE_RAW, YEAR_RAW
-from parcelgrid.session import scratch_root
+from parcelgrid.session import durable, scratch_root
 from parcelgrid.sources import cleaning as C, readers as IO, sinks as K
 from parcelgrid.standins import DISTRICTS, Tables
 
@@ -27,8 +27,9 @@ def raw_parcels(t: Tables):
 SELECT pnu, sigungu, jimok, CASE WHEN ck % 23 = 1 THEN NULL ELSE '서울특별시 ' || gu || ' ' || dong END AS dong_addr
 FROM parcels WHERE ck % 19 <> 4 AND sigungu IN ('11000', '11020')""", uses=("parcels",))
 def a1(t: Tables):
-    raw = raw_parcels(t).where(F.col("A7").isin("11000", "11020"))
-    return C.clean_parcels(IO.renamed(raw, IO.PARCEL_COLUMNS)).select("pnu", "sigungu", "jimok", "dong_addr")
+    path = durable(raw_parcels(t))._durable_path
+    raw = IO.read_parcels(t.spark, path, ["11000", "11020"], with_geometry=False)
+    return C.clean_parcels(raw).select("pnu", "sigungu", "jimok", "dong_addr")
 
 
 @query("A1_parcel_report", """
@@ -121,7 +122,8 @@ def a5(t: Tables):
 @query("A6_zoning_scan", """
 SELECT a6, count(*) AS n FROM zoning WHERE sigungu IN ('11000', '11030') GROUP BY 1""", uses=("zoning",))
 def a6(t: Tables):
-    z = t.shaped("zoning").where(F.col("sigungu").isin("11000", "11030"))
+    path = durable(t.shaped("zoning").select(F.col("a6").alias("A6"), F.col("sigungu").alias("A4"), "rings"))._durable_path
+    z = IO.read_zoning(t.spark, path, ["11000", "11030"])
     return z.groupBy("a6").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,9 +200,10 @@ def a8_api(t: Tables):
 SELECT zone_id, sigungu, zone_type FROM zones WHERE sigungu IN ('11000', '11010', '11040') AND zone_type IN ('UQ1221', 'UQ1222')""",
        uses=("zones",))
 def a9(t: Tables):
-    z = t.shaped("zones")
-    return z.where(F.col("sigungu").isin("11000", "11010", "11040") & F.col("zone_type").isin(*S.ZONE_CLASSES)).select(
-        "zone_id", "sigungu", "zone_type")
+    path = durable(t.shaped("zones").select(
+        F.col("zone_id").alias("NTFC_SN"), F.col("sigungu").alias("SIGNGU_SE"), F.col("zone_type").alias("SCLAS_CL"), "rings"))._durable_path
+    z = IO.read_zone_parts(t.spark, path, ["11000", "11010", "11040"], tuple(S.ZONE_CLASSES))
+    return z.select("zone_id", "sigungu", "zone_type")
 
 
 def raw_cancelled(t: Tables):

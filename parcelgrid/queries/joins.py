@@ -378,10 +378,13 @@ def members(t: Tables):
 @query("C22_zone_cluster_overlap", CLUSTER_SQL + f""", {ZONE_MEMBERS_SQL},
 zn AS (SELECT zone_id, count(*) AS zn FROM zm GROUP BY 1), cn AS (SELECT cluster_id, count(*) AS cn FROM clusters GROUP BY 1),
 pr AS (SELECT zone_id, cluster_id, count(*) AS i FROM zm JOIN clusters USING (pnu) GROUP BY 1, 2),
-b AS (SELECT zone_id, max(i / (zn + cn - i)) AS iou, arg_max(i / zn, (i / (zn + cn - i), i / zn)) AS core FROM pr JOIN zn USING (zone_id) JOIN cn USING (cluster_id) GROUP BY 1)
-SELECT zone_id, round(coalesce(iou, 0), 6) AS iou FROM zn LEFT JOIN b USING (zone_id)""", uses=("parcels", "buildings", "zones"))
+b AS (SELECT zone_id, arg_min({{'c': cluster_id, 'iou': i / (zn + cn - i), 'core': i / zn}}, (-i / (zn + cn - i), cluster_id)) AS b
+ FROM pr JOIN zn USING (zone_id) JOIN cn USING (cluster_id) GROUP BY 1)
+SELECT zone_id, b.c AS cluster_id, round(coalesce(b.iou, 0), 6) AS iou, round(coalesce(b.core, 0), 6) AS core_capture FROM zn LEFT JOIN b USING (zone_id)""",
+       uses=("parcels", "buildings", "zones"))
 def c22(t: Tables):
-    return metrics.zone_matches(members(t), clusters(t)).select("zone_id", r("iou").alias("iou"))
+    return metrics.zone_matches(members(t), clusters(t)).select(
+        "zone_id", "cluster_id", r("iou").alias("iou"), r("core_capture").alias("core_capture"))
 
 
 @query("G1_graph_by_district", f", {EDGES_SQL} SELECT substr(src, 1, 5) AS sigungu, count(*) AS n_edges, count(DISTINCT src) AS n_linked,"

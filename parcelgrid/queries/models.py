@@ -109,6 +109,27 @@ def g5(t: Tables):
     return every_node(t).select("pnu", *[r(c, 9).alias(c) for c in ALL_FEATURES])
 
 
+def _sum_sql(columns: list[str]) -> str:
+    """Sum of feature columns as the SQL of ``hops_sql`` names them."""
+    def place(c: str) -> str:
+        if c.startswith("nb1_"):
+            return f"h1.{c[4:]}"
+        return "h2." + c[4:].replace("mean_", "mean_mean_", 1).replace("max_", "max_mean_", 1) if c.startswith("nb2_") else f"f.{c}"
+    return " + ".join(map(place, columns))
+
+
+FEATURE_SETS = {"b1": feature_sets(ALL_FEATURES)["B1"], "b1_plus": feature_sets(ALL_FEATURES)["B1+"], "production": production_features(ALL_FEATURES)}
+
+
+@query("B30_feature_sets", FEATURE_SQL.replace("{t}", "2026") + f", {EDGES_SQL}, " + hops_sql("nodes", "pnu") + "SELECT f.pnu, "
+       + ", ".join(f"round({_sum_sql(c)}, 6)::DOUBLE AS {n}" for n, c in FEATURE_SETS.items())
+       + " FROM nodes JOIN feat f USING (pnu) JOIN h1 USING (pnu) JOIN h2 USING (pnu)", uses=FEATURE_USES)
+def b30(t: Tables):
+    rows = every_node(t)
+    sets = {"b1": feature_sets(rows.columns)["B1"], "b1_plus": feature_sets(rows.columns)["B1+"], "production": production_features(rows.columns)}
+    return rows.select("pnu", *[r(sum((F.col(c) for c in columns), F.lit(0.0))).alias(n) for n, columns in sets.items()])
+
+
 def matrix(t: Tables):
     """Training matrix with row_id, cx and cy, written once."""
     def build():
