@@ -39,7 +39,8 @@ def match_left(left: DataFrame, right: DataFrame, keys: list[str], spread: list[
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], *,
-                how: str = "inner", rows_per_task: int = ROWS_PER_TASK, heavy: bool = False) -> DataFrame:
+                how: str = "inner", rows_per_task: int = ROWS_PER_TASK, heavy: bool = False,
+                counts: DataFrame | None = None) -> DataFrame:
     """Equi join whose left side may hold hot keys.
 
     Keys with more than ``rows_per_task`` left rows are cut into that many
@@ -49,11 +50,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     cheap to read. With ``heavy`` the left rows are spread over all shuffle
     partitions even when they are few bytes: each pair costs much to test.
     """
-    hot = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
-    )
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > rows_per_task).select(
+        *keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("_parts"))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     lhs = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelgrid.operators.ranks import average_rank, exact_quantiles, running_totals
+from parcelgrid.operators.ranks import exact_quantiles, running_totals, with_rank_columns
 
 
 def curve(df: DataFrame, groups: list[str], *, y: str = "y", p: str = "p",
@@ -149,9 +149,8 @@ def roc_auc(df: DataFrame, groups: list[str], *, y: str = "y", p: str = "p") ->
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows plus rank_c and pct_c (average rank, average rank / n) of each column."""
     for c in columns:
-        r = average_rank(df, [], c).select(
-            c, F.col("avg_rank").alias(f"rank_{c}"), (F.col("avg_rank") / F.col("n_all")).alias(f"pct_{c}"))
-        df = df.withColumn(c, F.col(c).cast("double")).join(r, c)
+        df = with_rank_columns(df, [], c, {
+            f"rank_{c}": F.col("avg_rank"), f"pct_{c}": F.col("avg_rank") / F.col("n_all")}, how="inner")
     return df
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parcelgrid.operators.keyed import salted_join
 from parcelgrid.session import durable
 
 BUCKETS = 512
@@ -81,9 +82,16 @@ def average_rank(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def with_percentile(df: DataFrame, groups: list[str], value: str, out: str, *,
                     scale: float = 1.0) -> DataFrame:
     """Rows plus average rank / n of ``value`` inside ``groups`` (nulls stay null)."""
-    ranks = average_rank(df, groups, value).select(
-        *groups, value, (F.col("avg_rank") / F.col("n_all") * F.lit(scale)).alias(out))
-    return df.withColumn(value, F.col(value).cast("double")).join(ranks, [*groups, value], "left")
+    return with_rank_columns(df, groups, value, {out: F.col("avg_rank") / F.col("n_all") * F.lit(scale)})
+
+
+def with_rank_columns(df: DataFrame, groups: list[str], value: str, columns: dict[str, Column], *, how: str = "left") -> DataFrame:
+    """Rows plus columns made of ``average_rank`` of their value; a value that many rows share is salted."""
+    ranks = durable(average_rank(df, groups, value))
+    keys = [*groups, value]
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "struct", "array"))]
+    return salted_join(df.withColumn(value, F.col(value).cast("double")), ranks.select(*keys, *[c.alias(n) for n, c in columns.items()]),
+                       keys, plain, how=how, counts=ranks.select(*keys, "n"))
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:

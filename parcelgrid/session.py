@@ -18,6 +18,7 @@ def build_session(app: str = "parcelgrid", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

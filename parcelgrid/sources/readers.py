@@ -45,14 +45,14 @@ def read_zone_parts(spark: SparkSession, path: str, codes: list[str], classes: t
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], *, korean: bool = False) -> DataFrame:
     """CSV with a header, every column text, selected by name.
 
-    ``korean`` reads code page 949, which Spark accepts only with
-    ``spark.sql.legacy.javaCharsets``. The setting is needed again when the
-    rows are read, so it stays on for the session.
+    ``korean`` reads code page 949, which Spark accepts only in sessions with
+    ``spark.sql.legacy.javaCharsets``; ``build_session`` sets it.
     """
     reader = spark.read.option("header", "true").option("enforceSchema", "false")
     if not korean:
         return reader.csv(path).select(*columns)
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError("code page 949 needs a session with spark.sql.legacy.javaCharsets")
     return reader.option("encoding", "x-windows-949").csv(path).select(*columns)
 
 
