@@ -35,7 +35,9 @@ def match_left(left: DataFrame, right: DataFrame, keys: list[str], spread: list[
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     by = spread or [c for c, kind in left.dtypes if c not in keys and not kind.startswith(("map", "struct", "array<map"))] or keys
     dealt = left.withColumn("_deal", F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.lit(4096)).cast("int")))
-    return dealt.join(right.withColumn("_deal", F.lit(0)), [*keys, "_deal"], "left").drop("_deal")
+    # Always 0, but no literal: that would be folded away and the join be dealt by the keys alone.
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    return dealt.join(right.withColumn("_deal", zero), [*keys, "_deal"], "left").drop("_deal")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], *,
