@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -207,7 +208,7 @@ def _word_ids(path: str, names: list[str]) -> list[bytes]:
     for at in range(0, len(new), 10_000):
         some = new[at: at + 10_000]
         for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
     return [known[x] for x in names]
 
 
