@@ -34,7 +34,21 @@ def op6(spark, folder):
     return exact_duplicates(docs, extra={"text_sha256": F.sha2(normalised(F.col("row.text")), 256)})
 
 
-@query("op1_minhash_dedup")
+@query("op1_minhash_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT x AS doc_id, x AS other FROM links UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other)
+SELECT doc_id, len(s) AS n_shingles, coalesce(m, doc_id) AS component_id, doc_id = coalesce(m, doc_id) AS kept
+FROM sets LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)""")
 def op1(spark, folder):
     from parcelgrid.llm.near_dedup import near_duplicates
 
@@ -103,7 +117,13 @@ def op7(spark, folder):
     return L.languages(docs, model, key="_id").select("_id.*", "lang_pred", "score", "langs")
 
 
-@query("op9_host_consensus_text")
+# The pages of this table hold one article each, and no references but those below.
+@query("op9_host_consensus_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS t FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+d AS (SELECT page_id, url, regexp_replace(replace(t, '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM t),
+x AS (SELECT page_id, url, trim(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM x""")
 def op9(spark, folder):
     from parcelgrid.llm.html_text import extracted
 
