@@ -9,8 +9,8 @@ from parcelgrid.operators import graph as G, metrics as M, rules
 from parcelgrid.plans import assess as AS
 from parcelgrid.queries.aggregates import PATH_SQL, zone_metrics  # noqa: F401
 from parcelgrid.queries.ingest import lots
-from parcelgrid.queries.joins import CLUSTER_SQL, ZONE_MEMBERS_SQL, clusters, members
-from parcelgrid.queries.registry import SCORES_SQL, big, node_edges, old_sql, query, r, scores_of
+from parcelgrid.queries.joins import CLUSTER_SQL, ZONE_MEMBERS_SQL, clusters, members, node_aging, node_scores
+from parcelgrid.queries.registry import EDGES_SQL, SCORES_SQL, big, node_edges, old_sql, query, r, scores_of
 from parcelgrid.session import durable
 from parcelgrid.standins import DISTRICTS, Tables
 
@@ -122,16 +122,34 @@ def e9(t: Tables):
     return a.withColumns({c: r(c) for c in ("spearman", "shift_median", "shift_p90")})
 
 
-@query("E5_method_comparison", CLUSTER_SQL + f""", {ZONE_MEMBERS_SQL},
-zn AS (SELECT zone_id, count(*) AS zn FROM zm GROUP BY 1), cn AS (SELECT cluster_id, count(*) AS cn FROM clusters GROUP BY 1),
-pr AS (SELECT zone_id, cluster_id, count(*) AS i FROM zm JOIN clusters USING (pnu) GROUP BY 1, 2),
-o AS (SELECT zone_id, cluster_id, i / (zn + cn - i) AS iou, i / zn AS core FROM pr JOIN zn USING (zone_id) JOIN cn USING (cluster_id)),
-b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY iou DESC, cluster_id) = 1)
-SELECT 'wide' AS method, round(avg(coalesce(iou, 0)), 3) AS mean_iou, round(avg(coalesce(core, 0)), 3) AS mean_core_capture, count(*) AS n_zones,
- (SELECT count(*) FROM cn) AS n_clusters, round((SELECT avg(cn) FROM cn), 0) AS avg_cluster_size FROM zn LEFT JOIN b USING (zone_id)""",
-       uses=("parcels", "buildings", "zones"))
+METHODS_SQL = f""", {old_sql('2026')}, {SCORES_SQL}, {EDGES_SQL}, {ZONE_MEMBERS_SQL},
+age AS (SELECT n.pnu, coalesce(old_ratio, 0) AS a FROM nodes n LEFT JOIN old_now USING (pnu)),
+ns AS (SELECT s.pnu, score FROM scores s JOIN nodes USING (pnu)),
+ok AS (SELECT 'wide' AS method, pnu FROM ns WHERE score >= 0.5 UNION ALL SELECT 'tight', pnu FROM ns WHERE score >= 0.8
+ UNION ALL SELECT 'grow', pnu FROM age WHERE a >= 0.4),
+kept AS (SELECT a.method, src, dst FROM edges JOIN ok a ON a.pnu = src JOIN ok b ON b.pnu = dst AND b.method = a.method),
+reach AS (SELECT method, pnu AS a, pnu AS b FROM ok
+ UNION SELECT reach.method, reach.a, kept.dst FROM reach JOIN kept ON kept.src = reach.b AND kept.method = reach.method),
+comp AS (SELECT method, a AS pnu, min(b) AS cluster_id FROM reach GROUP BY method, a),
+big AS (SELECT method, cluster_id, count(*) AS cn FROM comp JOIN age USING (pnu) GROUP BY ALL HAVING count(*) >= 5 AND (method <> 'grow' OR max(age.a) >= 0.6)),
+m AS (SELECT DISTINCT method FROM ok), zn AS (SELECT zone_id, count(*) AS zn FROM zm GROUP BY 1),
+pr AS (SELECT method, zone_id, cluster_id, count(*) AS i FROM zm JOIN comp USING (pnu) GROUP BY ALL),
+o AS (SELECT method, zone_id, i / (zn + cn - i) AS iou, i / zn AS core FROM pr JOIN big USING (method, cluster_id) JOIN zn USING (zone_id)
+ QUALIFY row_number() OVER (PARTITION BY method, zone_id ORDER BY i / (zn + cn - i) DESC, cluster_id) = 1)
+"""
+
+
+@query("E5_method_comparison", METHODS_SQL + """
+SELECT method, round(avg(coalesce(iou, 0)), 3) AS mean_iou, round(avg(coalesce(core, 0)), 3) AS mean_core_capture, count(*) AS n_zones,
+ (SELECT count(*) FROM big WHERE big.method = m.method) AS n_clusters,
+ coalesce(round((SELECT avg(cn) FROM big WHERE big.method = m.method), 0), 0) AS avg_cluster_size
+FROM m CROSS JOIN zn LEFT JOIN o USING (method, zone_id) GROUP BY method""", uses=("parcels", "buildings", "zones"))
 def e5(t: Tables):
-    return M.compare_methods(durable(members(t)), {"wide": clusters(t)})
+    """Clusters at two thresholds and grown regions, against past zones."""
+    edges = node_edges(t)
+    tight = G.candidate_clusters(node_scores(t), edges, threshold=0.8)
+    return M.compare_methods(durable(members(t)), {
+        "wide": clusters(t), "tight": durable(tight), "grow": durable(G.region_grow(node_aging(t), edges))})
 
 
 @query("R3_environment_score", f""", {old_sql('2026')}, {SCORES_SQL}, k AS (SELECT pnu, score, round(100 * (1 - (rank() OVER (ORDER BY score) - 1) / count(*) OVER ()), 1) AS top FROM scores)

@@ -366,6 +366,12 @@ def node_scores(t: Tables):
     return scores_of(t).join(G.node_parcels(t.parcels).select("pnu"), "pnu", "left_semi")
 
 
+def node_aging(t: Tables):
+    old = asof.old_ratio_by_parcel(asof.building_stock(t.buildings), 2026)
+    return G.node_parcels(t.parcels).select("pnu").join(old, "pnu", "left").select(
+        "pnu", F.coalesce("old_ratio", F.lit(0.0)).alias("aging"))
+
+
 def clusters(t: Tables):
     return shared(t, "clusters", lambda: G.candidate_clusters(node_scores(t), node_edges(t), threshold=0.5))
 
@@ -415,10 +421,7 @@ ok AS (SELECT pnu FROM age WHERE a >= 0.4), {REACH_SQL},
 big AS (SELECT cluster_id FROM comp JOIN age USING (pnu) GROUP BY 1 HAVING count(*) >= 5 AND max(a) >= 0.6)
 SELECT cluster_id, pnu FROM comp WHERE cluster_id IN (SELECT cluster_id FROM big)""", uses=("parcels", "buildings"))
 def g4(t: Tables):
-    old = asof.old_ratio_by_parcel(asof.building_stock(t.buildings), 2026)
-    aging = G.node_parcels(t.parcels).select("pnu").join(old, "pnu", "left").select(
-        "pnu", F.coalesce("old_ratio", F.lit(0.0)).alias("aging"))
-    return G.region_grow(aging, node_edges(t))
+    return G.region_grow(node_aging(t), node_edges(t))
 
 
 @query("S1_aligned_union", """
