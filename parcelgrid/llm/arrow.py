@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,21 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.string()), "")
 
 
+@cache
+def _trim():
+    """The C library's call that returns freed memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return what was freed, so that idle workers beside the executor stay small."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose texts hold about ``limit`` bytes; one longer text is a slice of its own.
 
@@ -33,6 +50,8 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = B
             end = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+        del batch
+        give_back()
 
 
 def words(column: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:

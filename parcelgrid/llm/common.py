@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The white space that separates words, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,3 +30,15 @@ def both_ways(links: DataFrame, a: str, b: str) -> DataFrame:
     """(src, dst) of links, in both directions."""
     one = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     return one.union(one.select("dst", "src"))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Batches of at most ``size`` bytes between Spark and Python for what runs inside, then the session's own again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelgrid.llm.arrow import blocks, coded, texts, words
-from parcelgrid.llm.common import if_small
+from parcelgrid.llm.common import arrow_batches, if_small
 from parcelgrid.llm.token_counts import REMEMBERED, tokenizer
 from parcelgrid.session import durable
 
@@ -201,7 +201,7 @@ def _word_ids(path: str, names: list[str]) -> list[bytes]:
     """Ids of each distinct word as bytes; those met lately are remembered."""
     known = _KNOWN.setdefault(path, {})
     new = [x for x in names if x not in known]
-    if len(known) + len(new) > REMEMBERED:
+    if len(known) + len(new) > REMEMBERED // 2:
         known.clear()
         new = names
     t = tokenizer(path)
@@ -250,7 +250,7 @@ def token_pieces(docs: DataFrame, path: str, *, end: int, capacity: int = 4096,
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 2 << 20):
+        for b in blocks(batches, "_text", 1 << 20):
             ids, at = text_ids(texts(b, "_text"), path, end)
             n = np.diff(at)
             pieces = -(-n // capacity)
@@ -296,8 +296,9 @@ def packed(docs: DataFrame, path: str, *, end: int, capacity: int = 4096, key: s
     """
     digest = digest or {}
     made = token_pieces(docs, path, end=end, capacity=capacity, key=key, text=text)
-    stored = durable(made.withColumn("_rid", F.monotonically_increasing_id()).withColumns(
-        {n: f(F.col("ids")) for n, f in digest.items()}))
+    with arrow_batches(docs.sparkSession, "8m"):
+        stored = durable(made.withColumn("_rid", F.monotonically_increasing_id()).withColumns(
+            {n: f(F.col("ids")) for n, f in digest.items()}))
     histogram = {r.length: r.n for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = Plan(histogram, capacity).table()
     keep = [c for c in stored.columns if c not in ("length", "ids")]
