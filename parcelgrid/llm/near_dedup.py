@@ -2,7 +2,8 @@
 
 Every permutation of a text's shingles gives two components, its smallest and
 its largest value, so half the hash evaluations fill a signature. Bands of six
-components propose families of like texts. Inside a family, texts are dealt
+components propose families of like texts: members of a bucket meet two
+centres, and what these do not settle meets new ones. Inside a family, texts are dealt
 into blocks of bounded size and compared exactly on their full sets: first
 each block with itself and a few pivots, then only what is not yet connected.
 A large family of near copies is settled by its pivots in the first step.
@@ -29,6 +30,11 @@ BAND_ROWS = 6
 MISS = 1e-9
 #: Pairs whose signatures agree in less than the threshold minus this (ten standard errors) join no families.
 FAMILY_SLACK = 0.25
+#: A pair's signatures that agree in this much settle it: signatures of what is linked with one of the two agree with it in the
+#: threshold less six standard errors (0.15) or more, so with the other in the threshold less ``FAMILY_SLACK`` or more.
+SETTLED = 1 - FAMILY_SLACK + 0.15
+#: Sketches of a block, where every pair of a bucket is looked at.
+SKETCHES = 256
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 96, 400_000, 8
 _VOCABULARY = 1 << 14
 
@@ -85,39 +91,91 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         sign, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def _proposed(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the two centres of each of its buckets.
+def _tied(rows: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of like nodes and centres, (node, bucket) still open): ``rows``, (node, bucket), against two centres a bucket.
 
     The order that picks the centres differs from bucket to bucket, so members
-    of a large family meet many centres, and no bucket is paired with itself.
+    of a large family meet many centres. A node leaves its bucket as a centre
+    or where it agrees with one in ``SETTLED`` or more: what is linked with it
+    is then alike that centre as well. All others stay open, tied or not.
     """
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
     mark = F.col("node").bitwiseXOR(F.col("bucket"))
-    met = durable(rows.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi"))
-    ends = [F.col(c).bitwiseXOR(F.col("bucket")) for c in ("lo", "hi")]
-    pairs = rows.join(met, "bucket").select("node", F.explode(F.array(*ends)).alias("centre"))
-    return pairs.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    ends = [F.col(c).bitwiseXOR(F.col("bucket")).alias(c) for c in ("lo", "hi")]
+    met = durable(rows.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("size")).where(
+        "lo <> hi").select("bucket", *ends, "size"))
+    pairs = durable(rows.join(met, "bucket").select("node", F.explode(F.array("lo", "hi")).alias("centre")).where(
+        "node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
 
-
-def _families(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, family) of nodes with a like node: parts of the graph of pairs whose signatures mostly agree."""
-    least = percent / 100 - FAMILY_SLACK
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                         for c in ("sa", "sb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+                same = (x == y).mean(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("a"), b.column("b"), pa.array(same >= SETTLED)], ["a", "b", "settled"]).filter(pa.array(same >= least))
+
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    like = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint, settled boolean"))
+    # In buckets of three every pair has been looked at.
+    open_ = rows.join(met.where("size > 3"), "bucket").where("node <> lo AND node <> hi")
+    for c in ("lo", "hi"):
+        open_ = open_.join(like.where("settled").select(F.col("a").alias("node"), F.col("b").alias(c)), ["node", c], "left_anti")
+    return like.select("a", "b"), open_.select("node", "bucket")
+
+
+def _by_size(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Buckets of ``rows`` cut by size of set: each node in its own and the next class, so that linked nodes still meet."""
+    # A little more than the largest ratio of linked sets, against rounding.
+    ratio = max(-math.log(percent / 100), 1e-3) * (1 + 1e-6)
+    size_class = F.floor(F.log("n") / F.lit(ratio))
+    return rows.join(sizes, "node").select("node", F.explode(F.array(*(F.xxhash64("bucket", size_class + k) for k in (0, 1)))).alias("bucket"))
+
+
+def _compared_sketches(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(src, dst): links that connect what is alike in each bucket of ``rows``, looking at every pair, block by block."""
+    sizes = durable(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SKETCHES).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("size")).where(
+        "size > 1"))
+    placed = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    tasks = placed.select("bucket", "node", "block", other).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
 
-    pairs = durable(_proposed(nodes))
-    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    edges = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a bigint, b bigint"))
+    def compare(task: pa.Table) -> pa.Table:
+        node = task.column("node").to_numpy()
+        sketch = np.frombuffer(b"".join(task.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        first = node[_parts(np.stack([(sketch == row).mean(axis=1) >= least for row in sketch]))]
+        other = first != node
+        return pa.table({"src": pa.array(node[other], pa.int64()), "dst": pa.array(first[other], pa.int64())})
+
+    return tasks.join(sketches, "node").select("bucket", "i", "j", "node", "sketch").groupBy("bucket", "i", "j").applyInArrow(
+        compare, "src bigint, dst bigint")
+
+
+def _families(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, family) of nodes with a like node: parts of a graph in which nodes that may be linked are connected.
+
+    Nodes meet two centres in each bucket first. What no centre settles goes on
+    in buckets cut by size, as long as new centres settle half of it; every
+    pair of the rest is looked at.
+    """
+    least = percent / 100 - FAMILY_SLACK
+    sketches = nodes.select("node", "sketch")
+    edges, rest = _tied(nodes.select("node", F.explode("bands").alias("bucket")), sketches, least)
+    rest = durable(_by_size(rest, nodes.select("node", "n"), percent))
+    left, before = rest.count(), None
+    while left and (before is None or 2 * left <= before):
+        more, rest = _tied(rest, sketches, least)
+        edges, rest = edges.union(more), durable(rest)
+        left, before = rest.count(), left
     # A node's centres are tied to the smallest of them, and it alone to the node: members of a family share their centres.
     least_centre = durable(edges.groupBy("a").agg(F.min("b").alias("low")))
     ties = edges.join(least_centre, "a").where("b <> low").select("b", "low").distinct()
-    found = components(both_ways(least_centre.union(ties), "a", "low"))
+    links = least_centre.union(ties)
+    if left:
+        links = links.union(durable(_compared_sketches(rest, sketches, least)))
+    found = components(both_ways(links, "a", "low"))
     return durable(found.select(F.col("pnu").alias("node"), F.col("component").alias("family")))
 
 

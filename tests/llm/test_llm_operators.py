@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -118,6 +119,23 @@ def test_large_family_of_near_copies_is_linked_as_brute_force_does(spark, monkey
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(rows, size, percent)
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_links_in_crowded_buckets_do_not_hang_on_the_centres(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "SKETCHES", block)
+    rng = np.random.default_rng(5)
+    crowd = {i: rng.integers(0, 256, 200, dtype=np.uint8) for i in range(1, 41)}
+    changed = lambda s, k: np.r_[s[:k] ^ 1, s[k:]]
+    # Alike each other but no centre; and one of two alike just within reach of a centre (node 1), the other just without.
+    crowd[20], crowd[22] = crowd[21], changed(crowd[21], 20)
+    crowd[25] = changed(crowd[1], 78)
+    crowd[26] = np.r_[crowd[25][:180], crowd[25][180:] ^ 1]
+    rows = [(i, 100 + i % 2, [0], s.tobytes()) for i, s in crowd.items()]
+    nodes = spark.createDataFrame(rows, "node bigint, n bigint, bands array<bigint>, sketch binary")
+    family = {r.node: r.family for r in near_dedup._families(nodes, 85).collect()}
+    assert family[20] == family[21] == family[22] and family[25] == family[26] == family[1] != family[20]
+    assert set(family) == {1, 20, 21, 22, 25, 26}
+
+
 def test_mixture(docs):
     got = mixing.drawn(docs).collect()
     sizes = {}
