@@ -163,20 +163,33 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     least = percent / 100 - FAMILY_SLACK
     sketches = nodes.select("node", "sketch")
     edges, rest = _tied(nodes.select("node", F.explode("bands").alias("bucket")), sketches, least)
-    rest = durable(_by_size(rest, nodes.select("node", "n"), percent))
-    left, before = rest.count(), None
-    while left and (before is None or 2 * left <= before):
-        more, rest = _tied(rest, sketches, least)
-        edges, rest = edges.union(more), durable(rest)
-        left, before = rest.count(), left
     # A node's centres are tied to the smallest of them, and it alone to the node: members of a family share their centres.
     least_centre = durable(edges.groupBy("a").agg(F.min("b").alias("low")))
     ties = edges.join(least_centre, "a").where("b <> low").select("b", "low").distinct()
-    links = least_centre.union(ties)
+    links = durable(least_centre.union(ties))
+    rest = durable(_by_size(rest, nodes.select("node", "n"), percent))
+    found = durable(components(both_ways(links, "a", "low")))
+    family = found.select(F.col("pnu").alias("node"), F.col("component").alias("family"))
+    # Buckets whose nodes are all of one family have nothing left to connect.
+    of = rest.join(family, "node", "left").select("bucket", F.coalesce("family", "node").alias("family"))
+    mixed = of.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi")
+    rest = durable(rest.join(mixed, "bucket", "left_semi"))
+    left, before, more = rest.count(), None, []
+    while left and (before is None or 2 * left <= before):
+        tied, rest = _tied(rest, sketches, least)
+        more.append(tied)
+        rest = durable(rest)
+        left, before = rest.count(), left
     if left:
-        links = links.union(durable(_compared_sketches(rest, sketches, least)))
-    found = components(both_ways(links, "a", "low"))
-    return durable(found.select(F.col("pnu").alias("node"), F.col("component").alias("family")))
+        more.append(_compared_sketches(rest, sketches, least).toDF("a", "b"))
+    for new in more:
+        # Families stand for their nodes.
+        for c in ("a", "b"):
+            new = new.join(family.toDF(c, f"f{c}"), c, "left").withColumn(c, F.coalesce(f"f{c}", c)).drop(f"f{c}")
+        links = links.union(new.where("a <> b").select("a", "b").distinct())
+    if more:
+        found = durable(components(both_ways(durable(links), "a", "low")))
+    return found.select(F.col("pnu").alias("node"), F.col("component").alias("family"))
 
 
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
