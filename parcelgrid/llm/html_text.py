@@ -3,8 +3,8 @@
 Every page's containers are scored by the text they hold outside links and
 page furniture. Pages vote for the generalised tag-class path of their best
 containers, votes are added up per host in Spark, and each page is extracted
-again from the containers on its host's winning path. A page without that path
-falls back to its own best container.
+again from the containers on its host's winning path. A page without text on
+that path falls back to its own best container.
 """
 
 from __future__ import annotations
@@ -45,6 +45,17 @@ DROPPED_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget "
     "footer foot comment comments disqus respond reply replies related recommended share sharing social toolbar pagination pager search skip "
     "masthead topbar copyright hidden".split())
+#: What these name is no part of the page's own text, however long it is.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter comment "
+    "comments disqus respond reply replies related recommended".split())
+#: Classes that begin so tell of the layout around something else.
+LAYOUT_WORDS = frozenset("has no with without not".split())
+#: Elements whose ids are made from headings.
+HEADED = frozenset("h1 h2 h3 h4 h5 h6 section article".split())
+#: Why an element is dropped: by a layout word or as a form, as furniture by element, role or foreign word, or as never shown.
+SHOWN, LAYOUT, FURNITURE, UNSEEN = range(4)
+UNSEEN_TAGS = frozenset("head object canvas svg button select".split()) | RAW
 TRUSTED_WORDS = frozenset("article content post entry story main text body".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Elements further down share the path of the last named one.
@@ -52,10 +63,10 @@ DEEPEST = 64
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "trusted", "linked", "start", "end", "chars", "links")
+    __slots__ = ("tag", "path", "parent", "depth", "why", "dropped", "trusted", "linked", "start", "end", "chars", "links")
 
-    def __init__(self, tag, path, parent, depth, dropped, trusted, start):
-        self.tag, self.path, self.parent, self.depth, self.dropped, self.trusted = tag, path, parent, depth, dropped, trusted
+    def __init__(self, tag, path, parent, depth, why, trusted, start):
+        self.tag, self.path, self.parent, self.depth, self.why, self.dropped, self.trusted = tag, path, parent, depth, why, False, trusted
         self.linked = tag == "a" or parent is not None and parent.linked
         self.start, self.end, self.chars, self.links = start, -1, 0, 0
 
@@ -70,9 +81,71 @@ def _step(tag: str, names: list[str]) -> str:
     return ".".join([tag, *plain[:3]])
 
 
+def _furniture(tag: str, classes: list[str], name: str) -> int:
+    """LAYOUT or FURNITURE where a class, or the id ``name``, has a word of furniture; else SHOWN."""
+    parts = [_SPLIT.split(n) for n in classes]
+    if tag not in HEADED:
+        parts.append(_SPLIT.split(name))
+    words = {w for n in parts if n[0] not in LAYOUT_WORDS for w in n} & DROPPED_WORDS
+    if not words or tag in ("body", "html", "main") or tag == "article" and not words & {"comment", "comments", "related"}:
+        return SHOWN
+    return FURNITURE if words & FOREIGN_WORDS else LAYOUT
+
+
+def _settle(nodes: list[Node], pieces) -> None:
+    """Set ``dropped``, inherited by what is inside.
+
+    A layout element with an article, main or more than half of the page's text
+    inside is not dropped; furniture is not where all articles and mains of the
+    page would be, with more text than is left. If nothing is left, all but furniture and the unseen is kept.
+    """
+    def spread(least):
+        for node in nodes[1:]:
+            node.dropped = node.parent.dropped or node.why >= least
+
+    def up(node):
+        while node is not None:
+            yield node
+            node = node.parent
+
+    spread(FURNITURE)
+    mass = dict.fromkeys(nodes, 0)
+    for node, text, _ in pieces:
+        if not node.dropped:
+            mass[node] += len(text) - text.count(" ") // 2
+    for node in reversed(nodes[1:]):
+        mass[node.parent] += mass[node]
+    holds = set()
+    for node in reversed(nodes[1:]):
+        if node.tag in ("article", "main") and not node.dropped or node in holds:
+            holds.add(node.parent)
+    for node in nodes[1:]:
+        if node.why == LAYOUT and (node in holds or 2 * mass[node] > mass[nodes[0]]):
+            node.why = SHOWN
+    spread(LAYOUT)
+    own = [n for n in nodes if n.tag in ("article", "main") and n.why == SHOWN]
+    long = [len(text) - text.count(" ") // 2 for _, text, _ in pieces]
+    shown = sum(n for n, (node, _, _) in zip(long, pieces) if not node.dropped)
+    if own and all(n.dropped for n in own) and sum(sum(long[n.start: n.end]) for n in own if not n.parent.trusted) > shown:
+        cleared = set()
+        for n in own:
+            line = []
+            for x in up(n.parent):
+                if x in cleared:
+                    break
+                line.append(x)
+            if all(x.why != UNSEEN for x in line):
+                for x in line:
+                    x.why = SHOWN
+            cleared.update(line)
+        spread(LAYOUT)
+    if not any(text.strip() and not node.dropped for node, text, _ in pieces):
+        spread(FURNITURE)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     """(elements in page order, pieces of text with their element and whether a block starts before them)."""
-    root = Node("", "", None, 0, False, False, 0)
+    root = Node("", "", None, 0, SHOWN, False, 0)
     nodes, pieces, here, fresh, at = [root], [], root, True, 0
     open_tags: Counter = Counter()
 
@@ -128,16 +201,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         raw = m["attrs"]
         attrs = _attributes(raw) if raw.strip(" /") else {}
         classes = attrs.get("class", "").lower().split()
-        words = {w for n in (*classes, attrs.get("id", "").lower()) for w in _SPLIT.split(n)}
         inside = here.trusted
         trusted = inside or tag in ("article", "main") or attrs.get("role") in ("main", "article")
-        dropped = (here.dropped or tag in DROPPED or (tag == "header" and not inside) or attrs.get("role", "").lower() in DROPPED_ROLES
-                   or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-                   or (bool(words & DROPPED_WORDS) and not (tag in ("body", "html", "main") or (tag == "article" and not words & {"comment", "comments", "related"}))))
+        if (tag in UNSEEN_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+                or "display:none" in attrs.get("style", "").replace(" ", "").lower()):
+            why = UNSEEN
+        elif tag == "form" or attrs.get("role", "").lower() == "form":
+            why = max(LAYOUT, _furniture(tag, classes, attrs.get("id", "").lower()))
+        elif tag in DROPPED or (tag == "header" and not inside) or attrs.get("role", "").lower() in DROPPED_ROLES:
+            why = FURNITURE
+        else:
+            why = _furniture(tag, classes, attrs.get("id", "").lower())
         if tag in VOID or raw.endswith("/") and tag not in INLINE and tag not in CONTAINERS and tag != "p":
             continue
         named = tag not in INLINE and tag != "p" and here.depth < DEEPEST
-        here = node = Node(tag, here.path + ">" + _step(tag, classes) if named else here.path, here, here.depth + named, dropped,
+        here = node = Node(tag, here.path + ">" + _step(tag, classes) if named else here.path, here, here.depth + named, why,
                            trusted, len(pieces))
         nodes.append(node)
         open_tags[tag] += 1
@@ -147,6 +225,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
             here = close(node, node)
             fresh = True
     close(root, here)
+    _settle(nodes, pieces)
     return nodes, pieces
 
 
@@ -223,7 +302,7 @@ def page_text(page: str, path: str | None) -> str:
             spans.append((node.start, node.end))
             end = node.end
     found = " ".join(t for a, b in spans if (t := _visible(pieces, a, b)))
-    if found or any(b > a for a, b in spans):
+    if found:
         return found
     best = scored(nodes, pieces)
     if best:

@@ -209,6 +209,25 @@ def test_broken_pages(page, want):
     assert re.sub(r"\s", "", html_text.page_text(page, None)) == re.sub(r"\s", "", want)
 
 
+TEXT = "The whole article is here, and it goes on for some more words."
+
+
+@pytest.mark.parametrize("page, path, want", [
+    (f"<body><div class='content has-sidebar'><p>{TEXT}</p></div></body>", None, TEXT),
+    (f"<body><div class='no-sidebar'><article>{TEXT}</article></div></body>", None, TEXT),
+    (f"<body><form action=/><nav>menu</nav><div><p>{TEXT}</p></div></form></body>", None, TEXT),
+    (f"<body><form action=/><main>{TEXT}</main></form><p>foot</p></body>", None, TEXT),
+    (f"<body><div id=widget><div><p>{TEXT}</p></div></div><p>x</p></body>", None, TEXT),
+    (f"<body><aside><article>{TEXT}</article></aside></body>", None, TEXT),
+    (f"<article><section id='hidden-markov-models'>{TEXT}</section><h2 id='search'>Search</h2><p>b</p></article>", None, f"{TEXT} Search b"),
+    (f"<body><div class=a><nav>menu</nav></div><div class=b>{TEXT}</div></body>", ">body>div.a", TEXT),
+    (f"<body><div class=post><p>{TEXT}</p></div><div class=comments>{TEXT * 3}</div></body>", None, TEXT),
+    (f"<body><div class=post><p>{TEXT}</p></div><div class='main-sidebar'>side</div><div class=related><article>card</article></div></body>", None, TEXT),
+])
+def test_no_page_loses_its_text_to_a_word_around_it(page, path, want):
+    assert html_text.page_text(page, path) == want
+
+
 def test_deep_and_long_pages_take_linear_time():
     assert len(html_text.page_text('<div class="a">x' * 20_000, None)) > 39_900
     assert html_text.page_text("<b>x </i>" * 20_000, None).count("x") == 20_000
