@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +30,8 @@ FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT
 #: Costs: a known role is changed only where merging and inserting cost more.
 MERGE, RELABEL, GUESS, INSERT = 2, 8, 1, 5
 FAR = 1 << 40
+#: Turns of a stretch at most.
+STRETCH = 50_000
 OPEN, CLOSE, JOIN = "<|{}|>\n", "<|end|>\n", "\n\n"
 
 
@@ -105,6 +106,15 @@ def _markup(before: int, after: int, action: str, inserted: tuple[int, ...]) ->
     return head + "".join(OPEN.format(ROLES[x - 1]) + CLOSE for x in inserted) + OPEN.format(ROLES[after - 1])
 
 
+def _stretches(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[int]]]:
+    """(places, roles) of the turns of each row, one row at a time."""
+    column = b.column("_turns")
+    at, flat = column.offsets.to_numpy(), column.values
+    pos, code = flat.field("_pos").to_numpy(), flat.field("_code").to_numpy()
+    for i, j in zip(at[:-1], at[1:]):
+        yield pos[i:j].tolist(), code[i:j].tolist()
+
+
 def repaired(turns: DataFrame) -> DataFrame:
     """(conv_id, position, turn, role, new_role, action, cost, rendered) of every row of ``turns``.
 
@@ -117,8 +127,9 @@ def repaired(turns: DataFrame) -> DataFrame:
     cheapest role, a null conv_id is a conversation of its own, and repeated
     rows are turns each. Other columns are not looked at.
 
-    Rows are dealt by ranges of (conversation, order), so a conversation with
-    very many turns spans several tasks.
+    Rows are dealt by ranges of (conversation, order, place in the input), so a
+    conversation with very many turns spans several tasks, equal turns too; a
+    task's share of it is cut into stretches of at most ``STRETCH`` turns.
     """
     name = F.lower(F.trim("role"))
     for alias, role in ALIASES.items():
@@ -127,16 +138,20 @@ def repaired(turns: DataFrame) -> DataFrame:
     order = [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
     spark = turns.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(turns.select("conv_id", "turn", "role", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+    # The place parts only rows that are equal in all that is looked at, so it need not be the same in every run.
+    rows = durable(turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("_id")).repartitionByRange(
+        parts, *order, "_id").sortWithinPartitions(*order, "_id").select(
         "conv_id", "turn", "role", "text", code.alias("_code"), F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_pos")))
+    # The lower 33 bits of _pos number the rows of a partition.
+    run = F.floor(F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1)) / STRETCH)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roles = [[x["_code"] for x in some] for some in b.column("_turns").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([stretch(x) for x in roles], pa.list_(pa.int64()))], [*b.schema.names, "_costs"])
+            costs = [stretch(codes) for _, codes in _stretches(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(costs, pa.list_(pa.int64()))], [*b.schema.names, "_costs"])
 
-    listed = rows.groupBy("conv_id", "_part").agg(F.sort_array(F.collect_list(F.struct("_pos", "_code"))).alias("_turns")).select(
+    listed = rows.groupBy("conv_id", "_part", run.alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_pos", "_code"))).alias("_turns")).select(
         "conv_id", F.col("_turns")[0]["_pos"].alias("_stretch"), F.size("_turns").cast("bigint").alias("_n"), "_turns")
     kind = turns.schema["conv_id"].dataType.simpleString()
     stretches = durable(listed.mapInArrow(
@@ -145,7 +160,7 @@ def repaired(turns: DataFrame) -> DataFrame:
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for some in b.column("_all").to_pylist():
+            for some in (x.as_py() for x in b.column("_all")):
                 at = 0
                 for k, (x, (before, after)) in enumerate(zip(some, joined_states([x["_costs"] for x in some]))):
                     out.append((x["_stretch"], before, after, at, k == len(some) - 1))
@@ -157,24 +172,29 @@ def repaired(turns: DataFrame) -> DataFrame:
     ways = stretches.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("_stretch", "_n", "_costs"))).alias("_all")).select(
         "_all").mapInArrow(connect, "_stretch bigint, _before int, _after int, _at bigint, _last boolean")
 
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+
+    def written(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)],
+                                          ["_pos", "position", "new_role", "action", "cost", "_head", "_tail"])
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                roles = [x["_code"] for x in r["_turns"]]
-                for i, (x, (before, after, paid)) in enumerate(zip(r["_turns"], choices(roles, r["_before"], r["_after"]))):
-                    _, action, inserted = moves(x["_code"])[before][after]
-                    tail = ""
+            for (pos, roles), r in zip(_stretches(b), b.select(["_before", "_after", "_at", "_last"]).to_pylist()):
+                for i, (p, role, (before, after, paid)) in enumerate(zip(pos, roles, choices(roles, r["_before"], r["_after"]))):
+                    _, action, inserted = moves(role)[before][after]
+                    tail, head = "", _markup(before, after, action, inserted)
                     if r["_last"] and i == len(roles) - 1:
                         more, extra = ENDS[after]
                         paid += more
                         tail = CLOSE + "".join(OPEN.format(ROLES[e - 1]) + CLOSE for e in extra)
                         action += "+insert" if extra else ""
-                    out.append((x["_pos"], r["_at"] + i, ROLES[after - 1], action, paid, _markup(before, after, action, inserted)
-                                if not tail else _markup(before, after, action.removesuffix("+insert"), inserted), tail))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)],
-                                             ["_pos", "position", "new_role", "action", "cost", "_head", "_tail"])
+                    out.append((p, r["_at"] + i, ROLES[after - 1], action, paid, head, tail))
+                if len(out) >= STRETCH:
+                    yield written(out)
+                    out = []
+            yield written(out)
 
     chosen = stretches.select("_stretch", "_turns").join(durable(ways), "_stretch").select(
         "_turns", "_before", "_after", "_at", "_last").mapInArrow(

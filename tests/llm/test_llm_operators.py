@@ -282,6 +282,22 @@ def test_chat_of_one_long_conversation_spans_tasks(spark):
     assert sorted(r.position for r in got) == list(range(3000))
 
 
+def test_chat_of_equal_turns_is_cut_into_tasks_and_stretches(spark, monkeypatch):
+    written, real = [], chat.durable
+    monkeypatch.setattr(chat, "STRETCH", 50, raising=False)
+    monkeypatch.setattr(chat, "durable", lambda df: written.append(real(df)) or written[-1])
+    equal = spark.range(2000).selectExpr("1L AS conv_id", "0L AS turn", "'user' AS role", "'' AS text")
+    rows = equal.union(spark.range(2000).selectExpr("2L", "id", "CASE WHEN id % 3 < 2 THEN 'user' ELSE 'assistant' END", "''"))
+    got = chat.repaired(rows).collect()
+    assert next(d for d in written if "_turns" in d.columns).agg(F.max("_n")).first()[0] <= 50
+    assert next(d for d in written if "_part" in d.columns).where("conv_id = 1").select("_part").distinct().count() > 1
+    for conv, roles in ((1, [chat.USER] * 2000), (2, [chat.USER if i % 3 < 2 else chat.ASSISTANT for i in range(2000)])):
+        mine = [r for r in got if r.conv_id == conv]
+        whole = chat.forward(roles, [0, chat.FAR, chat.FAR, chat.FAR])[-1]
+        assert sum(r.cost for r in mine) == min(c + chat.ENDS[s][0] for s, c in enumerate(whole))
+        assert sorted(r.position for r in mine) == list(range(2000))
+
+
 def test_empty_tables(spark, nothing):
     b, w = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
     model = language.trained(language.language_counts(nothing))
