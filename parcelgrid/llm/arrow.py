@@ -73,3 +73,22 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
         return np.zeros(0, np.int64), flat
     d = flat.dictionary_encode()
     return d.indices.to_numpy().astype(np.int64), d.dictionary
+
+
+def byte_table(lower: bool = True, **classes: str) -> bytes:
+    """A table for ``translated``: A-Z in lower case, ``space`` and ``line`` (characters of one byte) as a blank and a line feed."""
+    table = bytearray(range(256))
+    if lower:
+        table[65:91] = range(97, 123)
+    for name, to in (("space", 32), ("line", 10)):
+        for c in classes.get(name, ""):
+            table[ord(c)] = to
+    return bytes(table)
+
+
+def translated(column: pa.Array, table: bytes) -> pa.Array:
+    """The texts with every byte below 128 replaced by ``table``; longer characters stay."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    held = memoryview(data)[at[0]: at[-1]].tobytes().translate(table) if data is not None else b""
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(held))

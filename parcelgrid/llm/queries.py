@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelgrid.llm import audit_sql
 from parcelgrid.llm.registry import query, table
 
 
@@ -151,3 +152,24 @@ def op8(spark, folder):
     from parcelgrid.llm.chat import repaired
 
     return repaired(table(spark, folder, "conversations"))
+
+
+@query("op11_minimax_shards", audit_sql.SHARDS)
+def op11(spark, folder):
+    from parcelgrid.llm.shards import sharded
+
+    return sharded(table(spark, folder, "documents"), shards=16)
+
+
+@query("op12_source_divergence", audit_sql.DIVERGENCE)
+def op12(spark, folder):
+    from parcelgrid.llm.divergence import audited
+
+    return audited(table(spark, folder, "documents"), least_docs=10, top=10)
+
+
+@query("op13_phrase_collocations", audit_sql.PHRASES)
+def op13(spark, folder):
+    from parcelgrid.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents"), longest=3, least=10, top=2000)
