@@ -75,6 +75,11 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy().astype(np.int64), d.dictionary
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The column as Python strings, much faster than ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def byte_table(lower: bool = True, **classes: str) -> bytes:
     """A table for ``translated``: A-Z in lower case, ``space`` and ``line`` (characters of one byte) as a blank and a line feed."""
     table = bytearray(range(256))

@@ -2,14 +2,15 @@
 
 The occurrences of the phrases of one length are a stored relation, sorted by
 piece and position. The next length is its merge join with itself on the piece
-and the adjacent position, after a semi-join with the frequent groups, and is
-counted by group. A stored row holds the occurrences of one document, so the
-join runs along sorted positions and never moves a piece between tasks; only
-counts of distinct phrases are shuffled.
-
-The semi-join goes through a bitmap of the frequent phrases' hashes. It holds
-at most 32 MB at any size; what passes it by collision is counted exactly like
-the rest and fails the exact count.
+and the adjacent position; it is counted by group, and its semi-join with the
+frequent groups is stored in turn. A stored row holds the occurrences of one
+document, so the join runs along sorted positions and never moves a piece
+between tasks; only counts of distinct phrases are shuffled.
+
+Groups are first counted by a hash of language and phrase, which can only join
+groups, and the semi-join goes through a bitmap of the hashes found frequent,
+of at most 32 MB at any size. What passes is then counted by the phrase itself,
+so collisions cost work and change no result.
 """
 
 from __future__ import annotations
@@ -24,139 +25,123 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelgrid.llm.arrow import blocks, byte_table, coded, give_back, texts, translated, words
+from parcelgrid.llm.arrow import blocks, byte_table, coded, strings, texts, translated, words
 from parcelgrid.llm.common import arrow_batches
 from parcelgrid.llm.shingles import mixed
 from parcelgrid.session import durable, release
 
 #: A-Z in lower case, white space inside a piece as a blank, what ends a piece as a line feed.
 PIECES = byte_table(space="\t", line=".,;:!?\n\x0b\x0c\r")
-BLOCK_WORDS = 1 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of the bitmap: 16 per frequent phrase, within these powers of two.
 LEAST_BITS, MOST_BITS = 16, 28
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-RELATION = "lang string, at array<int>, words array<string>, starts array<int>"
+RELATION = "lang string, runs string"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The relation of single words, a row per document with words; ``docs`` has text and lang.
-
-    words[i] stands at place at[i]: places of a piece follow one another, and
-    one place is left free between pieces. An occurrence is the index of its
-    first word, kept in ``starts``.
-    """
+    """The relation of single words, a row per document of ``docs`` (text, lang): its pieces, one a line."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            pieces = pc.split_pattern(translated(texts(b), PIECES), "\n")
-            per_doc = np.asarray(pieces.offsets).astype(np.int64)
-            flat, ends = words(pieces.flatten())
-            bounds = ends[per_doc - per_doc[0]]
-            piece = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            first = np.repeat(bounds[:-1], np.diff(bounds))
-            index = np.arange(len(flat)) - first
-            place = index + (piece - piece[first] if len(flat) else piece)
-            lists = lambda values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
-            rows = pa.RecordBatch.from_arrays(
-                [pc.fill_null(b.column("lang").cast(pa.string()), "und"), lists(pa.array(place, pa.int32())), lists(flat),
-                 lists(pa.array(index, pa.int32()))], ["lang", "at", "words", "starts"])
-            yield rows.filter(pa.array(np.diff(bounds) > 0))
+            yield pa.RecordBatch.from_arrays(
+                [pc.fill_null(b.column("lang").cast(pa.string()), "und"), translated(texts(b), PIECES)], ["lang", "runs"])
 
     return docs.select("text", "lang").mapInArrow(split, RELATION)
 
 
 class Relation:
-    """Some stored rows as plain arrays: codes and places of words, starts of occurrences of ``length`` words."""
+    """Occurrences of ``length`` words in some stored rows.
+
+    A row's ``runs`` are lines of words; in a line every ``length`` words in a
+    row are an occurrence, and nothing joins across lines. ``start`` has the
+    first word of each occurrence, in order.
+    """
 
     def __init__(self, rows: pa.RecordBatch, length: int):
-        def flat(name):
-            column = rows.column(name)
-            offsets = np.asarray(column.offsets).astype(np.int64)
-            return column.flatten(), offsets - offsets[0]
-
-        held, self.bounds = flat("words")
-        self.code, self.names = coded(held)
-        self.at = flat("at")[0].to_numpy(zero_copy_only=False)
-        starts, ends = flat("starts")
-        self.doc = np.repeat(np.arange(rows.num_rows), np.diff(ends))
-        self.start = starts.to_numpy(zero_copy_only=False) + self.bounds[:-1][self.doc]
-        lang, self.langs = coded(rows.column("lang").cast(pa.string()))
-        self.lang = lang
+        lines = pc.split_pattern(rows.column("runs").cast(pa.string()), "\n")
+        flat, ends = words(lines.flatten())
+        offsets = np.asarray(lines.offsets).astype(np.int64)
+        self.code, self.names = coded(flat)
+        of_line = np.repeat(np.arange(rows.num_rows), np.diff(offsets))
+        self.line = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        self.doc = of_line[self.line]
+        self.end = ends[1:][self.line]
+        self.lang, self.langs = coded(rows.column("lang").cast(pa.string()))
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, strings(self.names)), np.uint64, len(self.names))
+        salt = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in strings(self.langs)), np.uint64, len(self.langs))
+        self.hash, self.lang_hash = hashed[self.code], salt[self.lang]
         self.length = length
-        salt = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in self.langs.to_pylist()), np.uint64, len(self.langs))
-        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names.to_pylist()), np.uint64, len(self.names))
-        self.word_hash, self.lang_hash = hashed[self.code], salt[lang]
+        self.start = np.flatnonzero(np.arange(len(self.code)) + length <= self.end)
+
+    def joined(self) -> None:
+        """Merge join with itself: an occurrence and the one a place further on in the same line make one of the next length."""
+        next_ = np.append(self.start[1:], -1)
+        adjacent = (next_ == self.start + 1) & (self.line[self.start] == self.line[next_])
+        self.start = self.start[adjacent]
+        self.length += 1
 
     def hashes(self) -> np.ndarray:
         """A number below 2^63 for each occurrence's language and phrase."""
-        h = self.lang_hash[self.doc]
+        h = self.lang_hash[self.doc[self.start]]
         for k in range(self.length):
-            h = mixed(h * _SPREAD + self.word_hash[self.start + k])
+            h = mixed(h * _SPREAD + self.hash[self.start + k])
         return h >> np.uint64(1)
 
-    def keep(self, mask: np.ndarray) -> None:
-        self.start, self.doc = self.start[mask], self.doc[mask]
-
-    def joined(self) -> None:
-        """Merge join with itself: an occurrence and the one a place further on in the same piece make one of the next length."""
-        here = np.zeros(len(self.code) + 1, bool)
-        here[self.start] = True
-        follows = np.zeros(len(self.code), bool)
-        if len(self.code):
-            follows[:-1] = self.at[1:] == self.at[:-1] + 1
-            follows[self.bounds[1:-1] - 1] = False
-        self.keep(follows[self.start] & here[self.start + 1])
-        self.length += 1
-
     def groups(self) -> pa.RecordBatch:
-        """(lang, phrase, hash, n) of the distinct phrases."""
-        key, width = self.lang[self.doc], len(self.names)
-        hashes = self.hashes()
+        """(lang, phrase, n) of the distinct phrases."""
+        lang = self.lang[self.doc[self.start]]
+        key, width = lang, max(len(self.names), 1)
         for k in range(self.length):
             # Kept small enough for the next factor by numbering what occurs.
             key = np.unique(key, return_inverse=True)[1] * width + self.code[self.start + k]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
         parts = [self.names.take(pa.array(self.code[self.start[first] + k])) for k in range(self.length)]
         return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(self.lang[self.doc[first]])), pc.binary_join_element_wise(*parts, " "),
-             pa.array(hashes[first].astype(np.int64)), pa.array(n)], ["lang", "phrase", "hash", "n"])
+            [self.langs.take(pa.array(lang[first])), pc.binary_join_element_wise(*parts, " "), pa.array(n)], ["lang", "phrase", "n"])
 
     def stored(self) -> pa.RecordBatch:
-        """Rows of the relation, without words that no occurrence covers."""
-        covered = np.zeros(len(self.code) + 1, np.int64)
-        np.add.at(covered, self.start, 1)
-        np.add.at(covered, self.start + self.length, -1)
-        used = np.cumsum(covered)[:-1] > 0
-        place = np.concatenate(([0], np.cumsum(used)))
-        bounds = place[self.bounds]
-        ends = np.searchsorted(self.doc, np.arange(len(self.bounds)))
-        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-        rows = pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(self.lang)), lists(bounds, pa.array(self.at[used], pa.int32())),
-             lists(bounds, self.names.take(pa.array(self.code[used]))),
-             lists(ends, pa.array(place[self.start] - bounds[self.doc], pa.int32()))], ["lang", "at", "words", "starts"])
-        return rows.filter(pa.array(np.diff(ends) > 0))
-
-
-def relations(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Relation]:
-    """Slices of about ``BLOCK_WORDS`` words; a longer document is a slice of its own."""
-    for b in batches:
-        total = np.cumsum(pc.list_value_length(b.column("words")).to_numpy(zero_copy_only=False)) if b.num_rows else []
-        at = 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_WORDS, "right")))
-            yield Relation(b.slice(at, end - at), length)
-            at = end
-        give_back()
+        """Rows of the relation: adjacent occurrences share a line."""
+        if not len(self.start):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.string())] * 2, ["lang", "runs"])
+        fresh = np.ones(len(self.start), bool)
+        fresh[1:] = (self.start[1:] != self.start[:-1] + 1) | (self.line[self.start[1:]] != self.line[self.start[:-1]])
+        at = np.flatnonzero(fresh)
+        size = np.diff(np.append(at, len(self.start))) + self.length - 1
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        index = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - self.start[at], size)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.names.take(pa.array(self.code[index]))), " ")
+        docs, first = np.unique(self.doc[self.start[at]], return_index=True)
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), lines), "\n")
+        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[docs])), runs], ["lang", "runs"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Relation]:
+    """Occurrences of ``length`` words from the stored relation of one word less; single words from their own."""
+    for b in blocks(batches, "runs", BLOCK_BYTES):
+        r = Relation(b, max(length - 1, 1))
+        if length > 1:
+            r.joined()
+        yield r
 
 
-def counted(relation: DataFrame, length: int) -> DataFrame:
-    """(lang, phrase, hash, n): occurrences of each phrase of ``length`` words."""
+def hash_counts(relation: DataFrame, length: int) -> DataFrame:
+    """(hash, n) of the phrases of ``length`` words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _joined(batches, length):
+            hashes, n = np.unique(r.hashes(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n)], ["hash", "n"])
+
+    return relation.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def word_totals(relation: DataFrame) -> DataFrame:
+    """(lang, n): all words of the relation of single words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in relations(batches, length):
-            yield r.groups()
+        for b in blocks(batches, "runs", BLOCK_BYTES):
+            _, ends = words(b.column("runs").cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(np.diff(ends))], ["lang", "n"])
 
-    return relation.mapInArrow(count, "lang string, phrase string, hash bigint, n bigint").groupBy("lang", "phrase").agg(
-        F.first("hash").alias("hash"), F.sum("n").alias("n"))
+    return relation.mapInArrow(count, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def bitmap(frequent: DataFrame) -> tuple[int, Broadcast]:
@@ -172,34 +157,40 @@ def bitmap(frequent: DataFrame) -> tuple[int, Broadcast]:
 
 
 def extended(relation: DataFrame, length: int, bits: int, held: Broadcast) -> DataFrame:
-    """The relation of ``length`` + 1 words: occurrences of frequent phrases joined with what follows them."""
+    """The relation of ``length`` words, of frequent phrases (and what shares a bit with them) only."""
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(held.value, np.uint8)
-        for r in relations(batches, length):
+        for r in _joined(batches, length):
             slot = r.hashes() & np.uint64((1 << bits) - 1)
-            r.keep((table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1)
-            r.joined()
+            r.start = r.start[(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             yield r.stored()
 
     return relation.mapInArrow(extend, RELATION)
 
 
+def counted(relation: DataFrame, length: int) -> DataFrame:
+    """(lang, phrase, n): occurrences of each phrase of the stored relation of ``length`` words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "runs", BLOCK_BYTES):
+            yield Relation(b, length).groups()
+
+    return relation.mapInArrow(count, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, n) of all phrases of up to ``longest`` words that occur ``least`` times or more, (lang, n) of all words)."""
-    spark = docs.sparkSession
-    with arrow_batches(spark, "8m"):
+    with arrow_batches(docs.sparkSession, "8m"):
         relation = durable(occurrences(docs))
-        totals = durable(relation.groupBy("lang").agg(F.sum(F.size("at")).alias("n")))
+        totals = durable(word_totals(relation))
         found = []
         for length in range(1, longest + 1):
+            bits, held = bitmap(durable(hash_counts(relation, length).where(F.col("n") >= least)))
+            longer = durable(extended(relation, length, bits, held))
+            held.unpersist()
+            release(relation)
+            relation = longer
             level = durable(counted(relation, length).where(F.col("n") >= least))
             found.append(level.select("lang", "phrase", F.lit(length).alias("words"), "n"))
-            if length < longest:
-                bits, held = bitmap(level)
-                longer = durable(extended(relation, length, bits, held))
-                held.unpersist()
-                release(relation)
-                relation = longer
         release(relation)
     out = found[0]
     for level in found[1:]:

@@ -197,7 +197,7 @@ def phrases_by_hand(rows, longest, least, top):
 
 @pytest.mark.parametrize("longest,least,top", [(3, 10, 2000), (4, 3, 7), (2, 2, 50)])
 def test_phrases_equal_brute_force(spark, longest, least, top, monkeypatch):
-    monkeypatch.setattr(phrases, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 900)
     got = phrases.collocations(table(spark, MIXED), longest=longest, least=least, top=top)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == phrases_by_hand(MIXED, longest, least, top)
