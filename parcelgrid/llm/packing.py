@@ -13,24 +13,27 @@ lengths are powers of two.
 from __future__ import annotations
 
 import heapq
+import json
 import math
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelgrid.llm.arrow import blocks, coded, texts, words
+from parcelgrid.llm.arrow import blocks, coded, strings, texts, words
 from parcelgrid.llm.common import arrow_batches, if_small
 from parcelgrid.llm.token_counts import REMEMBERED, tokenizer
 from parcelgrid.session import durable
 
 #: Share of padding below which no piece is cut for the sake of packing.
 FINE = 0.0025
+#: Words of letters that are encoded as one text.
+JOINED = 256
 
 
 class Plan:
@@ -183,8 +186,6 @@ def placed(table: dict, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarra
 @cache
 def drops_blanks(path: str) -> bool:
     """Whether the tokenizer drops white space, so that words can be encoded one by one."""
-    import json
-
     t = json.loads(tokenizer(path).to_str())
     norm, pre = t["normalizer"] or {}, t["pre_tokenizer"] or {}
     split = (pre.get("pretokenizers") or [{}])[0]
@@ -194,22 +195,81 @@ def drops_blanks(path: str) -> bool:
             and all(not x["lstrip"] and not x["rstrip"] and " " not in x["content"] for x in t["added_tokens"]))
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after another."""
+    total = np.cumsum(size)
+    return pool[np.repeat(begin - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+
+
+class WordIds:
+    """Ids of words, remembered; beyond ``REMEMBERED`` / 2 words only those met again stay."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.index: dict[str, int] = {}
+        self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number per word). Words of letters alone are encoded many at a time: each has one id that ends a word."""
+        whole = np.zeros(len(new), bool)
+        if self.ends is not None and new:
+            whole = pc.match_substring_regex(pa.array(new, pa.string()), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        size = np.zeros(len(new), np.int64)
+        parts, order = [], []
+        letters = np.flatnonzero(whole)
+        texts_ = [letters[k: k + JOINED] for k in range(0, len(letters), JOINED)]
+        coded_ = self.tokenizer.encode_batch_fast([" ".join([new[i] for i in some]) for some in texts_], add_special_tokens=False)
+        alone = [np.flatnonzero(~whole)]
+        for some, e in zip(texts_, coded_):
+            ids = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some) or last[-1] != len(ids) - 1:  # some letter is none to the tokenizer
+                alone.append(some)
+                continue
+            size[some] = np.diff(last, prepend=-1)
+            parts.append(ids)
+            order.append(some)
+        rest = np.concatenate(alone)
+        ids, size[rest] = self._one_by_one([new[i] for i in rest])
+        held = np.concatenate([*parts, ids])
+        order = np.concatenate([*order, rest])
+        begin = np.zeros(len(new), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return _gather(held, begin, size), size
+
+    def __call__(self, names: list[str]) -> np.ndarray:
+        """Place of each distinct word in ``begin`` and ``size``."""
+        find = self.index.get
+        at = np.fromiter((find(x, -1) for x in names), np.int64, len(names))
+        new = [names[i] for i in np.flatnonzero(at < 0)]
+        if len(self.index) + len(new) > REMEMBERED // 2:
+            met = np.flatnonzero(at >= 0)
+            self.index = {names[i]: k for k, i in enumerate(met)}
+            self.pool = _gather(self.pool, self.begin[at[met]], self.size[at[met]])
+            self.size = self.size[at[met]]
+            self.begin = np.cumsum(self.size) - self.size
+            at[met] = np.arange(len(met))
+        ids, size = self._encoded(new)
+        at[at < 0] = len(self.size) + np.arange(len(new))
+        self.index.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.pool = np.concatenate((self.pool, ids))
+        return at
 
 
-def _word_ids(path: str, names: list[str]) -> list[bytes]:
-    """Ids of each distinct word as bytes; those met lately are remembered."""
-    known = _KNOWN.setdefault(path, {})
-    new = [x for x in names if x not in known]
-    if len(known) + len(new) > REMEMBERED // 2:
-        known.clear()
-        new = names
-    t = tokenizer(path)
-    for at in range(0, len(new), 10_000):
-        some = new[at: at + 10_000]
-        for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-    return [known[x] for x in names]
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def text_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,21 +284,25 @@ def text_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndar
         stems = pc.if_else(pc.match_substring(stems, "<|"), stems, pc.ascii_lower(stems))
         stem_codes, stems = coded(stems)
         mark_codes, marks = coded(marks)
-        whole, tail = _word_ids(path, stems.to_pylist()), _word_ids(path, marks.to_pylist())
-        per = [whole[i] + tail[j] for i, j in zip(stem_codes.tolist(), mark_codes.tolist())]
+        known = word_ids(path)
+        # Looked up together, as a look-up may renumber what is remembered.
+        both_codes, both = coded(pa.concat_arrays([stems, marks]))
+        place = known(strings(both))[both_codes]
+        whole, tail = place[: len(stems)][stem_codes], place[len(stems):][mark_codes]
+        pool = _gather(known.pool, known.begin[parts := np.stack((whole, tail), axis=1).ravel()], known.size[parts])
+        size = known.size[parts].reshape(-1, 2).sum(axis=1)
     else:
-        names = column.to_pylist()
+        names = strings(column)
         codes, at = np.arange(len(names)), np.arange(len(names) + 1)
-        per = [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(names, add_special_tokens=False)]
-    per.append(np.array([end], "<u4").tobytes())
-    pool = np.frombuffer(b"".join(per), "<u4")
-    size = np.fromiter(map(len, per), np.int64, len(per)) // 4
-    begin = np.cumsum(size) - size
-    codes = np.insert(codes, at[1:], len(per) - 1)
+        per = [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(names, add_special_tokens=False)]
+        pool = np.concatenate([*per, np.zeros(0, np.uint32)])
+        size = np.fromiter(map(len, per), np.int64, len(per))
+    pool = np.append(pool, np.uint32(end))
+    size = np.append(size, 1)
+    codes = np.insert(codes, at[1:], len(size) - 1)
     many = size[codes]
     total = np.concatenate(([0], np.cumsum(many)))
-    ids = pool[np.repeat(begin[codes] - total[:-1], many) + np.arange(total[-1])]
-    return ids, total[np.concatenate(([0], at[1:] + np.arange(1, len(at))))]
+    return _gather(pool, (np.cumsum(size) - size)[codes], many), total[np.concatenate(([0], at[1:] + np.arange(1, len(at))))]
 
 
 def token_pieces(docs: DataFrame, path: str, *, end: int, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:

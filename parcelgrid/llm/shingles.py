@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from parcelgrid.llm.arrow import coded, words
+from parcelgrid.llm.arrow import coded, strings, words
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -26,7 +26,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     flat, at = words(column, lower=True)
     codes, names = coded(flat)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, strings(names)), np.uint64, len(names))
     h = hashes[codes]
     n = len(h)
     whole = mixed(h)
