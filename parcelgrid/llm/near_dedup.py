@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.llm.arrow import blocks, texts
 from parcelgrid.llm.common import both_ways, if_small
@@ -91,16 +91,17 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         sign, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def _tied(rows: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _tied(rows: DataFrame, sketches: DataFrame, least: float, order: Column) -> tuple[DataFrame, DataFrame]:
     """((a, b) of like nodes and centres, (node, bucket) still open): ``rows``, (node, bucket), against two centres a bucket.
 
-    The order that picks the centres differs from bucket to bucket, so members
-    of a large family meet many centres. A node leaves its bucket as a centre
-    or where it agrees with one in ``SETTLED`` or more: what is linked with it
-    is then alike that centre as well. All others stay open, tied or not.
+    The centres of a bucket are its first and last node by node XOR ``order``.
+    The same order in all buckets gives a large family few centres, so few pairs.
+    A node leaves its bucket as a centre or where it agrees with one in
+    ``SETTLED`` or more: what is linked with it is then alike that centre as
+    well. All others stay open, tied or not.
     """
-    mark = F.col("node").bitwiseXOR(F.col("bucket"))
-    ends = [F.col(c).bitwiseXOR(F.col("bucket")).alias(c) for c in ("lo", "hi")]
+    mark = F.col("node").bitwiseXOR(order)
+    ends = [F.col(c).bitwiseXOR(order).alias(c) for c in ("lo", "hi")]
     met = durable(rows.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count(F.lit(1)).alias("size")).where(
         "lo <> hi").select("bucket", *ends, "size"))
     pairs = durable(rows.join(met, "bucket").select("node", F.explode(F.array("lo", "hi")).alias("centre")).where(
@@ -125,6 +126,11 @@ def _tied(rows: DataFrame, sketches: DataFrame, least: float) -> tuple[DataFrame
     return like.select("a", "b"), open_.select("node", "bucket")
 
 
+def _order(turn: int) -> Column:
+    """Another order of nodes for each turn, the same in all buckets."""
+    return F.lit(int(mixed(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
+
+
 def _by_size(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Buckets of ``rows`` cut by size of set: each node in its own and the next class, so that linked nodes still meet."""
     # A little more than the largest ratio of linked sets, against rounding.
@@ -133,14 +139,24 @@ def _by_size(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return rows.join(sizes, "node").select("node", F.explode(F.array(*(F.xxhash64("bucket", size_class + k) for k in (0, 1)))).alias("bucket"))
 
 
-def _compared_sketches(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(src, dst): links that connect what is alike in each bucket of ``rows``, looking at every pair, block by block."""
-    sizes = durable(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SKETCHES).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("size")).where(
-        "size > 1"))
-    placed = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    tasks = placed.select("bucket", "node", "block", other).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
+def _compared_sketches(rows: DataFrame, family: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(src, dst): links that connect what is alike in each bucket of ``rows``, looking at every pair of two families, block by block.
+
+    Pairs within a bucket's largest family are connected already, so only what
+    is not of it is held against all blocks.
+    """
+    of = durable(rows.join(family, "node", "left").select("bucket", "node", F.coalesce("family", "node").alias("family")))
+    counts = of.groupBy("bucket", "family").agg(F.count(F.lit(1)).alias("size"))
+    blocks_of = lambda n: F.ceil(n / (SKETCHES // 2)).cast("int")
+    sizes = durable(counts.groupBy("bucket").agg(
+        F.max_by("family", F.struct("size", "family")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most")).where(
+            "n > most").select("bucket", "main", blocks_of(F.col("n")).alias("n_blocks"), blocks_of(F.col("n") - F.col("most")).alias("n_rest")))
+    placed = of.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int")).withColumn(
+        "j", F.pmod(F.xxhash64("node", F.lit(1)), "n_rest").cast("int"))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = placed.select("bucket", "node", "i", span("n_rest").alias("j"))
+    rest = placed.where("family <> main").select("bucket", "node", span("n_blocks").alias("i"), "j")
+    tasks = every.union(rest).distinct()
 
     def compare(task: pa.Table) -> pa.Table:
         node = task.column("node").to_numpy()
@@ -162,7 +178,7 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     """
     least = percent / 100 - FAMILY_SLACK
     sketches = nodes.select("node", "sketch")
-    edges, rest = _tied(nodes.select("node", F.explode("bands").alias("bucket")), sketches, least)
+    edges, rest = _tied(nodes.select("node", F.explode("bands").alias("bucket")), sketches, least, _order(0))
     # A node's centres are tied to the smallest of them, and it alone to the node: members of a family share their centres.
     least_centre = durable(edges.groupBy("a").agg(F.min("b").alias("low")))
     ties = edges.join(least_centre, "a").where("b <> low").select("b", "low").distinct()
@@ -176,12 +192,12 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     rest = durable(rest.join(mixed, "bucket", "left_semi"))
     left, before, more = rest.count(), None, []
     while left and (before is None or 2 * left <= before):
-        tied, rest = _tied(rest, sketches, least)
+        tied, rest = _tied(rest, sketches, least, _order(len(more) + 1))
         more.append(tied)
         rest = durable(rest)
         left, before = rest.count(), left
     if left:
-        more.append(_compared_sketches(rest, sketches, least).toDF("a", "b"))
+        more.append(_compared_sketches(rest, family, sketches, least).toDF("a", "b"))
     for new in more:
         # Families stand for their nodes.
         for c in ("a", "b"):
