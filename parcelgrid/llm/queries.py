@@ -59,13 +59,11 @@ def op1(spark, folder):
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-strata AS (
-  SELECT source, length(bin(size)) AS width, count(*) AS n, sum(size) AS total FROM sized GROUP BY ALL),
 sources AS (
-  SELECT source, sum(total)::BIGINT AS s,
+  SELECT source, sum(size)::BIGINT AS s,
          list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS w,
          row_number() OVER (ORDER BY source NULLS LAST) AS pos
-  FROM strata GROUP BY source),
+  FROM sized GROUP BY source),
 steps AS (
   SELECT *, (1.5 * sum(s) OVER () - coalesce(sum(2.0 * s) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level,
          2.0 * s / w AS stop
@@ -75,19 +73,11 @@ goals AS (
   SELECT source, s AS source_size,
          least(2.0 * s, w * (SELECT arg_min(level, (stop, pos)) FROM steps WHERE level <= stop)) AS target
   FROM steps),
-placed AS (
-  SELECT doc_id, size, source_size, target, width, sized.source,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         floor(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~') || '|mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * ceil(n / 96.0))::INT AS part
-  FROM sized JOIN strata ON strata.width = length(bin(size)) AND strata.source IS NOT DISTINCT FROM sized.source
-  JOIN goals ON goals.source IS NOT DISTINCT FROM sized.source),
 drawn AS (
-  SELECT *, rate - floor(rate) AS f,
-         row_number() OVER (PARTITION BY source, width, part ORDER BY size DESC, doc_id) - 1 AS i,
-         ('0x' || substr(md5(coalesce(source, '~') || '|' || width || '|' || part || '|mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM placed)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (floor(rate) + floor(u + (i + 1) * f) - floor(u + i * f)))::BIGINT AS taken
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~') || '|' || size || '|mix'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM sized JOIN goals ON goals.source IS NOT DISTINCT FROM sized.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
 FROM drawn"""
 
 

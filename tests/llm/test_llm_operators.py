@@ -155,9 +155,16 @@ def test_mixture(docs):
 
 def test_mixture_meets_its_targets(spark):
     rows = [(i, f"s{i % 4}", (i * 7919) % 400 + (20_000 if i % 500 == 0 else 0)) for i in range(4000)]
-    got = mixing.drawn(spark.createDataFrame(rows, "doc_id bigint, source string, n int"), size=F.col("n")).groupBy("row.source").agg(
-        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
-    assert all(abs(r.taken - r.target) < 0.03 * r.target for r in got)
+    got = mixing.drawn(spark.createDataFrame(rows, "doc_id bigint, source string, n int"), size=F.col("n")).collect()
+    for source in {r.row.source for r in got}:
+        mine = [r for r in got if r.row.source == source]
+        rate = mine[0].target / mine[0].source_size
+        part = rate % 1
+        # Independent draws: within four standard errors, and every document floor(rate) times or once more.
+        error = 4 * (part * (1 - part) * sum(r.size**2 for r in mine)) ** 0.5
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= error + 1e-6
+        assert {r.copies for r in mine} <= {int(rate), int(rate) + 1}
+        assert abs(sum(r.copies for r in mine) / len(mine) - rate) <= 4 * (part * (1 - part) / len(mine)) ** 0.5
 
 
 def test_packing(docs):
