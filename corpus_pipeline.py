@@ -23,8 +23,14 @@ from parcelgrid.llm.registry import query
 from parcelgrid.session import scratch_root
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Few bytes at once between Spark and Python: stages share executors with what earlier ones still hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language that takes at least half of it (operator 7)."""
+    """Documents whose text the learned languages explain, one or several at once (operator 7)."""
+    _small_batches(spark)
     return with_clear_language(docs)
 
 
@@ -35,6 +41,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8 or more (operator 1)."""
+    _small_batches(spark)
     return without_near_copies(docs, size=5, percent=80)
 
 

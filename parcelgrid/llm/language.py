@@ -190,15 +190,31 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def with_clear_language(docs: DataFrame, *, least: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a share of at least ``least``, with all their columns."""
+def explained(row: np.ndarray, bins: np.ndarray, n: np.ndarray, share: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each text's n-grams under its mixture, less that under a uniform draw of bins; 0 without n-grams."""
+    p = (share[row] * model[bins]).sum(axis=1, dtype=np.float64)
+    return np.bincount(row, n * np.log(np.maximum(p, 1e-30) * BINS), len(share))
+
+
+def with_clear_language(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose text the learned languages explain, with all their columns.
+
+    A text stays if the chosen set of languages, one or several, makes its
+    n-grams likelier than a uniform draw of bins. Null texts and texts without
+    a letter go. Where no language can be learned (no labels) every text with a
+    letter stays.
+    """
     model = trained(language_counts(docs.where(~held_out(key))))
     names, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 19):
-            row, bins, n, _ = ngrams(texts(b))
-            yield b.filter(pa.array(mixture(row, bins, n, b.num_rows, shared.value).max(axis=1, initial=0) >= least))
+            row, bins, n, letters = ngrams(texts(b))
+            stays = letters > 0
+            if names:
+                share = mixture(row, bins, n, b.num_rows, shared.value)
+                stays &= explained(row, bins, n, share, shared.value) > 0
+            yield b.filter(pa.array(stays))
 
     return docs.mapInArrow(keep, docs.schema)
