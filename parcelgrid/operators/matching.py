@@ -44,11 +44,18 @@ def lot_lookup(rows: DataFrame, index: DataFrame, *, out: str = "pnu") -> DataFr
 
 
 def locate(rows: DataFrame, index: DataFrame, location: Column, *, out: str = "pnu") -> DataFrame:
-    """Parse a location text of rows that carry ``sigungu`` and look it up."""
+    """Parse a location text of rows that carry ``sigungu`` and look it up.
+
+    Each distinct text of a district is parsed and looked up once, whatever the
+    number of rows that carry it; one join brings the answers back.
+    """
+    text = rows.withColumn("_text", location)
+    distinct = text.select("sigungu", "_text").where("sigungu IS NOT NULL AND _text IS NOT NULL").distinct()
     # Parsed once into a column of its own; its fields are only read from there.
-    parsed = rows.withColumn("_loc", A.location_parts(location)).withColumns(
+    parsed = distinct.withColumn("_loc", A.location_parts(F.col("_text"))).withColumns(
         {c: F.col(f"_loc.{c}") for c in ("dong", "main_no", "sub_no")}).drop("_loc")
-    return lot_lookup(parsed, index, out=out)
+    found = lot_lookup(parsed, index, out=out)
+    return match_left(text, found, ["sigungu", "_text"]).drop("_text").withColumn("by_legal", F.coalesce("by_legal", F.lit(False)))
 
 
 def scoped_lookup(addresses: DataFrame, detail: DataFrame, wide: DataFrame,
