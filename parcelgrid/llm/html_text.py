@@ -60,6 +60,9 @@ TRUSTED_WORDS = frozenset("article content post entry story main text body".spli
 CONTAINERS = frozenset("article main section div td body".split())
 #: Elements further down share the path of the last named one.
 DEEPEST = 64
+#: Words of furniture written as one with what they hold, as in commentlist.
+_GLUED = re.compile(r"^(comments?|sidebar|footer|cookie|newsletter|breadcrumbs?|related|share|social|advert|nav|menu)"
+                    r"(?:list|area|form|box|section|block|wrap|wrapper|thread|container|bar|links?|notice|banner|widget|inner|items?|posts)$")
 
 
 class Node:
@@ -86,7 +89,8 @@ def _furniture(tag: str, classes: list[str], name: str) -> int:
     parts = [_SPLIT.split(n) for n in classes]
     if tag not in HEADED:
         parts.append(_SPLIT.split(name))
-    words = {w for n in parts if n[0] not in LAYOUT_WORDS for w in n} & DROPPED_WORDS
+    words = {w for n in parts if n[0] not in LAYOUT_WORDS for w in n}
+    words = (words | {m[1] for w in words if (m := _GLUED.match(w))}) & DROPPED_WORDS
     if not words or tag in ("body", "html", "main") or tag == "article" and not words & {"comment", "comments", "related"}:
         return SHOWN
     return FURNITURE if words & FOREIGN_WORDS else LAYOUT
@@ -252,9 +256,11 @@ def scored(nodes: list[Node], pieces) -> list[tuple[float, Node]]:
     for node in reversed(nodes[1:]):
         node.parent.chars += node.chars
         node.parent.links += node.links
+    # A page that marks its article is not read as a whole, however much stands beside it.
+    marked = any(n.tag in ("article", "main") and not n.dropped and n.chars > 2 * n.links for n in nodes)
     best = []
     for node in nodes:
-        if node.tag in CONTAINERS and not node.dropped and node.chars > 0:
+        if node.tag in CONTAINERS and not node.dropped and node.chars > 0 and not (marked and node.tag == "body"):
             words = set(_SPLIT.split(node.path.rpartition(">")[2]))
             premium = 1.5 if node.tag in ("article", "main") else 1.2 if words & TRUSTED_WORDS and node.tag != "body" else 1.0
             best.append(((node.chars - 2 * node.links) * premium * (1 + 0.02 * min(node.depth, 8)), node))
@@ -293,20 +299,41 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(F.max_by("path", order).alias("path"))
 
 
+def _titled(nodes: list[Node], winner: Node) -> int:
+    """Piece from which to read: the first heading that stands before ``winner`` in its parent, else the winner's own start.
+
+    What follows the heading there, such as the lead, is read too. Right below
+    the body only a heading of its own counts, not one in a box beside.
+    """
+    if winner.tag in ("article", "main", "body"):
+        return winner.start
+    outer = winner.parent
+    for level in ("h1", "h2"):
+        for node in nodes:
+            if node.tag == level and not node.dropped and outer.start <= node.start < winner.start and node.end <= winner.start:
+                if outer.tag not in ("body", "html", "") or node.parent is outer:
+                    return node.start
+    return winner.start
+
+
 def page_text(page: str, path: str | None) -> str:
-    """Main text of a page, from the containers on ``path`` or else from its own best container."""
+    """Main text of a page, from the containers on ``path`` or else from its own best container.
+
+    A title and what follows it in front of the container, inside its parent,
+    belong to the text.
+    """
     nodes, pieces = parse(page)
     spans, end = [], -1
     for node in nodes:
         if path and node.path == path and node.tag in CONTAINERS and not node.dropped and node.start >= end:
-            spans.append((node.start, node.end))
+            spans.append((node.start if spans else _titled(nodes, node), node.end))
             end = node.end
     found = " ".join(t for a, b in spans if (t := _visible(pieces, a, b)))
     if found:
         return found
     best = scored(nodes, pieces)
     if best:
-        return _visible(pieces, best[0][1].start, best[0][1].end)
+        return _visible(pieces, _titled(nodes, best[0][1]), best[0][1].end)
     return _visible(pieces, 0, len(pieces))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgrid.llm import divergence, phrases, shards
+from parcelgrid.llm import divergence, html_text, phrases, shards
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, size string, n int, phrase int, value int, term int, digest int, mark int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -222,3 +222,31 @@ def test_scores_beyond_64_bits(spark):
 def test_phrases_of_nothing(spark):
     for rows in (table(spark, MIXED).where("false"), table(spark, [(1, None, None, None), (2, " . ", "en", "a")])):
         assert phrases.collocations(rows).collect() == []
+
+
+# --- pages without, or with little, markup of their own
+
+BODY = "Sentence one of the story, long enough to count. Sentence two goes on about it. Sentence three ends it."
+MORE = "Readers say a lot here, and then some more, and more. " * 40
+NAV = "<ul class=menu><li><a href=/>home</a><li><a href=/x>more pages</a></ul>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body>{NAV}<div class=wrap><h1>Title</h1><p class=lead>The lead.</p><div class=entry-content><p>{BODY}</p></div></div>", f"Title The lead. {BODY}"),
+    (f"<body><article><p>{BODY}</p></article><div class=commentlist><p>{MORE}</p></div>", BODY),
+    (f"<body><main><p>{BODY}</p></main><p>{MORE}</p>", BODY),
+    (f"<body><div class=post><h2>Title</h2><div class=post-body><p>{BODY}</p></div><div class=commentarea>{MORE}</div></div>", f"Title {BODY}"),
+    (f"<body><div id=logo><h1>Site</h1></div><div class=content><p>{BODY}</p></div>", BODY),
+    (f"<body><h1>Title</h1><div class=content><p>{BODY}</p></div><div class=sharebar>share this</div>", f"Title {BODY}"),
+    (f"<body><div><div class=head><h1>Title</h1></div><div class=story-text><p>{BODY}</p></div></div>", f"Title {BODY}"),
+    (f"<body><div class=commentary><p>{BODY}</p></div>", BODY),
+    (f"<body><article><header><h1>Title</h1></header><p>{BODY}</p></article><aside>{MORE}</aside>", f"Title {BODY}"),
+    (f"<body><section><h1>Title</h1><p>{BODY}</p></section><div class=footerlinks>a b c</div>", f"Title {BODY}"),
+    (f"<body><p>{BODY}</p><div class=cookiebanner>We use cookies</div>", BODY),
+    (f"<table><tr><td class=menubar><a href=/>home</a><td><h1>Title</h1><p>{BODY}</p></table>", f"Title {BODY}"),
+    (f"<body><div class=page><h1>Title</h1><nav>home</nav><div class=article-body><p>{BODY}</p></div></div>", f"Title {BODY}"),
+    (f"<body><div class=related-posts>{MORE}</div><div class=article-body><p>{BODY}</p></div>", BODY),
+    (f"<body><div class=newsletterbox>{MORE}</div><div><h1>Title</h1><p>{BODY}</p></div>", f"Title {BODY}"),
+])
+def test_page_shapes(page, want):
+    assert html_text.page_text(page, None) == want
