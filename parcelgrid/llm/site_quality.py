@@ -78,8 +78,9 @@ def fitted(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-3, rounds: int = 2
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the ``rows`` labelled documents with the smallest key hashes."""
-    known = docs.join(labels.where("quality IS NOT NULL"), "doc_id").select("doc_id", "text", "quality")
-    share = min(1.0, 1.2 * rows / max(1, labels.count()))
+    known = docs.select("doc_id", "text").join(labels.where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    # The share follows the labels that meet a document; twice the noise of its count above the rows wanted.
+    share = min(1.0, (rows + 4 * rows ** 0.5) / max(1, known.select("doc_id").count()))
     cut = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,19 +111,20 @@ def odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(scored: DataFrame, *, base: float, host: str, path: str) -> DataFrame:
-    """(_host, _path, n, good, host_rate, k, path_rate): the shrunken rate of every path, worth ``k`` documents of its host.
+def posteriors(scored: DataFrame, *, base: float) -> tuple[DataFrame, tuple[int, float, float, float]]:
+    """((_host, _path, n, good, host_n, host_good, host_rate, path_rate), (rows, their sum of _own, k_host, k_path)): shrunken rates of all paths.
 
-    ``scored`` has host, path, log_odds and label (null if unknown). Each row
-    counts its label, or else the classifier's probability. The prior weight of
-    a level is found by moments: the spread of the rates beyond what sampling
-    alone would give. Two grouped sums; hot hosts combine before the shuffle.
+    ``scored`` has _host, _path and _own: a row's label, or else the
+    classifier's probability. A host's rate is worth ``k_path`` documents of
+    each of its paths, the rate of all rows ``k_host`` of each host: weights
+    found by moments, from the spread of the rates beyond what sampling alone
+    would give, at least 1 (spread without bound) and at most 10,000 (a spread
+    below 0.0001 counts as that). Two grouped sums; hot hosts combine before
+    the shuffle.
     """
-    own = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(F.col("log_odds") + F.lit(float(np.log(base / (1 - base))))))))
-    paths = durable(scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(own).alias("good")))
+    paths = durable(scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_own").alias("good")))
     hosts = durable(paths.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")))
-    whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
+    whole = hosts.agg(F.coalesce(F.sum("host_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("host_good"), F.lit(0.0)).alias("good")).first()
     rate = (whole.good + 1) / (whole.n + 2) if whole.n else base
 
     def weight(groups: DataFrame, n: str, good: str, centre: Column) -> float:
@@ -137,35 +139,41 @@ def posteriors(scored: DataFrame, *, base: float, host: str, path: str) -> DataF
 
     k_host = weight(hosts, "host_n", "host_good", F.lit(rate))
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + k_host * rate) / (F.col("host_n") + k_host))
-    joined = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_host"])).select(paths["_host"], "_path", "n", "good", "host_n", "host_rate")
-    joined = durable(joined)
+    joined = durable(paths.join(hosts, paths["_host"].eqNullSafe(hosts["_host"])).select(
+        paths["_host"], "_path", "n", "good", "host_n", "host_good", "host_rate"))
     k_path = weight(joined, "n", "good", F.col("host_rate"))
-    return durable(joined.withColumn("k", F.lit(k_path)).withColumn("path_rate", (F.col("good") + F.col("k") * F.col("host_rate")) / (F.col("n") + F.col("k"))))
+    rates = durable(joined.withColumn("path_rate", (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)))
+    return rates, (whole.n, whole.good, k_host, k_path)
 
 
 def classified(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "path", least: float = 0.5,
                sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, host, path, log_odds, host_rate, path_rate, quality_score, kept) of every row of ``docs``.
 
-    ``docs`` has doc_id, text, ``host`` and ``path``; ``labels`` has doc_id and
-    quality (0, 1 or null). A row's own label never decides about it: the path
-    rate it meets leaves the row itself out. Null hosts and paths are groups of
-    their own; a null or empty text has the evidence of an empty text; without
-    labels the base rate is one half. Rows that repeat a doc_id are rows each,
-    and of repeated labels the largest counts.
+    ``docs`` has doc_id, text, ``host`` and ``path``, and any other columns;
+    ``labels`` has doc_id and quality (0, 1 or null). host_rate and path_rate
+    are those of the groups; the prior a row's score meets leaves the row
+    itself out of its path, its host and the total, so its own label counts
+    for the fitted classifier and the two prior weights only. Priors stay
+    within 0.001 and 0.999. Null hosts and paths are groups of their own; a
+    null or empty text has the evidence of an empty text; without labels the
+    base rate is one half. Rows that repeat a doc_id are rows each, and of
+    repeated labels the largest counts.
     """
     known = durable(labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")))
-    x, y = sample(docs, known, sample_rows)
-    model = fitted(x, y)
+    model = fitted(*sample(docs, known, sample_rows))
     base = model[1]
-    carry = ["doc_id", host, path]
-    seen = durable(evidence(docs, model, carry).join(known.withColumnRenamed("quality", "label"), "doc_id", "left"))
-    rates = if_small(posteriors(seen, base=base, host=host, path=path))
-    near = seen.join(rates, seen[host].eqNullSafe(rates["_host"]) & seen[path].eqNullSafe(rates["_path"]))
-    # The path's rate without the row itself.
-    own = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(F.col("log_odds") + F.lit(float(np.log(base / (1 - base))))))))
-    prior = (F.col("good") - own + F.col("k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("k"))
+    named = docs.select("doc_id", "text", F.col(host).alias("_host"), F.col(path).alias("_path"))
+    own = F.coalesce(F.col("quality").cast("double"), 1 / (1 + F.exp(-(F.col("log_odds") + F.lit(float(np.log(base / (1 - base))))))))
+    seen = durable(evidence(named, model, ["doc_id", "_host", "_path"]).join(known, "doc_id", "left").withColumn("_own", own).drop("quality"))
+    rates, (rows, total, k_host, k_path) = posteriors(seen, base=base)
+    near = if_small(rates)
+    met = seen.join(near, seen["_host"].eqNullSafe(near["_host"]) & seen["_path"].eqNullSafe(near["_path"])).drop(near["_host"], near["_path"])
+    rate = (F.lit(float(total)) - F.col("_own") + 1) / (rows + 1)
+    of_host = (F.col("host_good") - F.col("_own") + k_host * rate) / (F.col("host_n") - 1 + k_host)
+    prior = (F.col("good") - F.col("_own") + k_path * of_host) / (F.col("n") - 1 + k_path)
     prior = F.least(F.greatest(prior, F.lit(0.001)), F.lit(0.999))
     score = 1 / (1 + F.exp(-(F.col("log_odds") + odds(prior))))
-    return near.select(*carry, F.round("log_odds", 6).alias("log_odds"), F.round("host_rate", 6).alias("host_rate"),
-                       F.round("path_rate", 6).alias("path_rate"), F.round(score, 6).alias("quality_score"), (score >= least).alias("kept"))
+    return met.select("doc_id", F.col("_host").alias(host), F.col("_path").alias(path), F.round("log_odds", 6).alias("log_odds"),
+                      F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"),
+                      F.round(score, 6).alias("quality_score"), (score >= least).alias("kept"))

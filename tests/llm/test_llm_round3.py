@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgrid.llm import divergence, html_text, phrases, shards
+from parcelgrid.llm import divergence, html_text, phrases, shards, site_quality
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, size string, n int, phrase int, value int, term int, digest int, mark int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -250,3 +250,58 @@ NAV = "<ul class=menu><li><a href=/>home</a><li><a href=/x>more pages</a></ul>"
 ])
 def test_page_shapes(page, want):
     assert html_text.page_text(page, None) == want
+
+
+# --- quality of sites
+
+def site_rows():
+    good = [(i, "the quick story of a long day told in plain words " * (1 + i % 4), f"h{i % 4}", "p" if i % 2 else None, "q", 1, 1) for i in range(60)]
+    bad = [(100 + i, "BUY!! $$$ now " * (5 + i), "h3", "q", None, 2, 2) for i in range(30)]
+    return [*good, *bad, (500, "lone page of its own", "solo", "x", "z", 3, 3), (501, None, None, None, None, None, None)]
+
+
+def site_table(spark):
+    return spark.createDataFrame(site_rows(), "doc_id bigint, text string, label string, n string, quality string, good int, _own int")
+
+
+def test_priors_equal_plain_sums_without_the_row(spark):
+    docs = site_table(spark)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in [*range(0, 60, 3), *range(100, 130, 2), 9999]], "doc_id bigint, quality int")
+    got = site_quality.classified(docs, labels, host="label", path="n").collect()
+    x, y = site_quality.sample(docs, labels)
+    base = site_quality.fitted(x, y)[1]
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    own = {r.doc_id: known.get(r.doc_id, 1 / (1 + np.exp(-(r.log_odds + np.log(base / (1 - base)))))) for r in got}
+    rows, total = len(got), sum(own.values())
+    rate = (total + 1) / (rows + 2)
+
+    def weight(groups, centre):
+        some = [(n, g, centre(k)) for k, (n, g) in groups.items() if n > 1]
+        ss, noise, n = (sum(n * (g / n - c) ** 2 for n, g, c in some), sum(c * (1 - c) for _, _, c in some), sum(n for n, *_ in some))
+        return min(1e4, max(1.0, rate * (1 - rate) / max((ss - noise) / n, 1e-4)))
+
+    hosts, paths = defaultdict(lambda: (0, 0.0)), defaultdict(lambda: (0, 0.0))
+    for r in got:
+        for groups, k in ((hosts, r.label), (paths, (r.label, r.n))):
+            groups[k] = (groups[k][0] + 1, groups[k][1] + own[r.doc_id])
+    k_host = weight(hosts, lambda k: rate)
+    of = {h: (g + k_host * rate) / (n + k_host) for h, (n, g) in hosts.items()}
+    k_path = weight(paths, lambda k: of[k[0]])
+    for r in got:
+        o, (hn, hg), (n, g) = own[r.doc_id], hosts[r.label], paths[r.label, r.n]
+        host = (hg - o + k_host * (total - o + 1) / (rows + 1)) / (hn - 1 + k_host)
+        prior = min(0.999, max(0.001, (g - o + k_path * host) / (n - 1 + k_path)))
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-(r.log_odds + np.log(prior / (1 - prior))))), abs=2e-5)
+        assert r.host_rate == pytest.approx(of[r.label], abs=2e-5)
+
+
+def test_the_label_of_a_lone_page_does_not_move_its_prior(spark, monkeypatch):
+    docs = site_table(spark)
+    model = site_quality.fitted(*site_quality.sample(docs, spark.createDataFrame([(0, 1), (100, 0)], "doc_id bigint, quality int")))
+    monkeypatch.setattr(site_quality, "fitted", lambda *a: model)
+    monkeypatch.setattr(site_quality, "sample", lambda *a: ())
+    scores = []
+    for q in (0, 1):
+        labels = spark.createDataFrame([(0, 1), (100, 0), (500, q)], "doc_id bigint, quality int")
+        scores.append(next(r.quality_score for r in site_quality.classified(docs, labels, host="label", path="n").collect() if r.doc_id == 500))
+    assert abs(scores[0] - scores[1]) < 0.02  # what is left comes through the prior weights
