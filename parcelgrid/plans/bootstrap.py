@@ -1,94 +1,165 @@
-"""Zone-block bootstrap of a PR-AUC difference."""
+"""Zone-block bootstrap of a PR-AUC difference.
+
+Positives are resampled by zone, negatives by k-means blocks of about a zone's
+size. The draws are a written table with one row per block; a task gets the
+rows of one score bucket and the draws of the blocks in it, never all draws.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelgrid.operators.ranks import bucketed, value_edges
+from parcelgrid.session import durable
+
 
+def spatial_blocks(rows: DataFrame, *, seed: int = 0) -> DataFrame:
+    """Rows plus ``block``: the zone of a positive, a k-means block of centroids for a negative.
 
-def _weights(seed: int, replicates: int, kinds: dict[int, int]) -> dict[int, np.ndarray]:
-    """Draw counts (block, replicate) per class; every task rebuilds the same table."""
-    out = {}
-    for y, n in kinds.items():
-        rng = np.random.default_rng([seed, y])
-        out[y] = rng.multinomial(n, np.full(n, 1.0 / n), size=replicates).T.astype(np.int32)
-    return out
+    ``rows``: row_id, y, zone_id, cx, cy. The number of negative blocks is the
+    number of negatives over the mean number of rows of a zone. Positives
+    without a zone are blocks of their own row; rows without a place share one
+    block. The fit sees distinct centroids weighted by their rows; its centres
+    are the only thing that reaches the driver.
+    """
+    zoned = (F.col("y") == 1) & F.col("zone_id").isNotNull()
+    n = rows.agg(F.count(F.when(zoned, 1)).alias("pos"), F.count_distinct(F.when(zoned, F.col("zone_id"))).alias("zones"),
+                 F.count(F.when(F.col("y") == 0, 1)).alias("neg")).first()
+    placed = rows.where("y = 0 AND cx IS NOT NULL AND cy IS NOT NULL").groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    k = max(1, round(n["neg"] * n["zones"] / n["pos"])) if n["pos"] else 1
+    spots = durable(VectorAssembler(inputCols=["cx", "cy"], outputCol="features").transform(placed))
+    if k > 1 and spots.count() > 1:
+        model = KMeans(k=k, seed=seed, weightCol="_n").fit(spots)
+        cluster = model.transform(spots).select("cx", "cy", F.col("prediction").alias("_k"))
+    else:
+        cluster = spots.select("cx", "cy", F.lit(0).alias("_k"))
+    own = F.when(zoned, F.concat(F.lit("zone "), F.col("zone_id").cast("string"))).when(
+        F.col("y") == 1, F.concat(F.lit("row "), F.col("row_id").cast("string"))).when(
+        F.col("_k").isNotNull(), F.concat(F.lit("place "), F.col("_k").cast("string"))).otherwise("no place")
+    return rows.join(cluster, ["cx", "cy"], "left").select(*rows.columns, own.alias("block"))
 
 
 def block_index(rows: DataFrame) -> DataFrame:
-    """(y, block, idx): blocks of each class numbered from 0; one row per block."""
-    w = Window.partitionBy("y").orderBy("block")
-    return rows.select("y", "block").distinct().withColumn("idx", F.row_number().over(w) - 1)
+    """(y, block, idx, n_blocks): blocks of each class numbered from 0 in the order of their MD5.
+
+    Windows hold the blocks of one of 4096 digest prefixes, or one row per prefix.
+    """
+    blocks = rows.select("y", "block").distinct().withColumn("_h", F.md5(F.col("block").cast("string"))).withColumn("_part", F.substring("_h", 1, 3))
+    over = Window.partitionBy("y").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("y", "_part").agg(F.count(F.lit(1)).alias("_c")).select(
+        "y", "_part", F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_start"), F.sum("_c").over(Window.partitionBy("y")).alias("n_blocks"))
+    inside = F.row_number().over(Window.partitionBy("y", "_part").orderBy("_h", "block")) - 1
+    return blocks.withColumn("_i", inside).join(starts, ["y", "_part"]).select("y", "block", (F.col("_start") + F.col("_i")).alias("idx"), "n_blocks")
 
 
-def replicate_scores(rows: DataFrame, score: str, *, replicates: int = 1000, seed: int = 0,
-                     rows_per_bucket: int = 20000) -> DataFrame:
-    """(replicate, pr_auc) of one score under block resampling.
+def _pick(seed: int) -> Column:
+    """The block that a draw takes: 48 bits of an MD5 of seed, class, replicate and number of the draw."""
+    text = F.concat_ws("|", F.lit(seed), F.col("y").cast("int"), F.col("replicate"), F.col("idx"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), F.col("n_blocks"))
 
-    ``rows``: y, block and the score. Rows stay in score buckets; each bucket
-    reports its weighted counts per replicate, running sums over buckets give
-    the offsets, and a second pass adds up precision times recall steps. Rows
-    are never repeated per replicate.
+
+def draw_table(rows: DataFrame, *, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """(y, block, replicate, times), the last two arrays: in which replicates a block is drawn and how often.
+
+    Each replicate draws as many blocks of a class as it has, with
+    replacement. Written once, one row per block; a block never drawn is absent.
     """
-    idx = block_index(rows)
-    kinds = {int(r["y"]): int(r["n"]) for r in idx.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = rows.count()
+    index = durable(block_index(rows))
+    draws = index.select("y", "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    taken = draws.select("y", "replicate", _pick(seed).alias("idx")).groupBy("y", "idx", "replicate").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # At most one entry per replicate.
+    per = taken.groupBy("y", "idx").agg(F.array_sort(F.collect_list(F.struct("replicate", "n"))).alias("_d"))
+    return durable(per.join(index, ["y", "idx"]).select("y", "block", F.col("_d.replicate").alias("replicate"), F.col("_d.n").alias("times")))
+
+
+def _score_edges(rows: DataFrame, score: str, n: int, rows_per_bucket: int) -> list[float]:
+    """Bucket edges; a score that fills a bucket alone gets one of its own, so that ties never need an order."""
+    common = rows.groupBy(score).count().where(F.col("count") >= rows_per_bucket)
+    hot = [r[0] for r in common.collect()]  # at most n / rows_per_bucket
     edges = value_edges(rows, score, max(8, n // rows_per_bucket))
-    cut = (
-        bucketed(rows.withColumn(score, F.col(score).cast("double")), score, edges, "bucket")
-        .join(idx, ["y", "block"]).groupBy("bucket", F.col(score).alias("p"), "y", "idx").agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    def weighted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        w = _weights(seed, replicates, kinds)
-        tp = np.zeros((len(pdf), replicates))
-        al = np.zeros((len(pdf), replicates))
-        for y, table in w.items():
-            m = (pdf["y"] == y).to_numpy()
-            al[m] = table[pdf["idx"].to_numpy()[m]] * pdf["n"].to_numpy()[m, None]
-            if y == 1:
-                tp[m] = al[m]
-        return tp, al
-
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        tp, al = weighted(pdf)
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "replicate": np.arange(replicates),
+    return sorted({*edges, *hot, *(float(np.nextafter(v, np.inf)) for v in hot)})
+
+
+def replicate_scores(rows: DataFrame, score: str, draws: DataFrame, *, replicates: int = 1000, rows_per_bucket: int = 4000) -> DataFrame:
+    """(replicate, pr_auc) of one score under the draws of ``draw_table``.
+
+    ``rows``: y, block and the score. Rows stay in score buckets; each bucket
+    reports its weighted counts per replicate (a crowded one in parts), running
+    sums over buckets give the offsets, and a second pass adds up precision
+    times recall steps where a bucket holds more than one score. Rows are never
+    repeated per replicate. A replicate without a positive has no value.
+    """
+    src = rows.select("y", "block", F.col(score).cast("double").alias("p")).where("p IS NOT NULL")
+    cut = durable(bucketed(src, "p", _score_edges(src, "p", src.count(), rows_per_bucket), "bucket")
+                  .groupBy("bucket", "p", "y", "block").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c"), (F.min("p") == F.max("p")).alias("tied"))
+    parts = F.pmod(F.xxhash64("y", "block"), F.when(F.col("tied"), F.ceil(F.col("_c") / rows_per_bucket)).otherwise(1))
+    dealt = durable(cut.join(sizes, "bucket").withColumn("part", parts).drop("_c"))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        # Columns of their own: both sides of a cogroup stem from one table.
+        keys = [F.col(c).alias(c) for c in ("bucket", "part", "y", "block")]
+        return df.select(*keys).distinct().join(draws, ["y", "block"])
+
+    def weighted(pdf: pd.DataFrame, table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        at = {(y, b): i for i, (y, b) in enumerate(zip(table["y"], table["block"]))}
+        times = np.zeros((len(at) + 1, replicates))
+        for i, (r, w) in enumerate(zip(table["replicate"], table["times"])):
+            times[i, r] = w
+        row = np.fromiter((at.get(key, len(at)) for key in zip(pdf["y"], pdf["block"])), int, len(pdf))
+        al = times[row] * pdf["n"].to_numpy()[:, None]
+        return al * (pdf["y"].to_numpy() == 1)[:, None], al
+
+    def totals(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"bucket": [], "tied": [], "replicate": [], "tp": [], "n": []})
+        tp, al = weighted(pdf, table)
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "tied": pdf["tied"].iloc[0], "replicate": np.arange(replicates),
                              "tp": tp.sum(0), "n": al.sum(0)})
 
-    sums = cut.groupBy("bucket").applyInPandas(totals, "bucket double, replicate int, tp double, n double")
+    keys = ["bucket", "part"]
+    some = dealt.groupBy(*keys).cogroup(drawn(dealt).groupBy(*keys)).applyInPandas(totals, "bucket double, tied boolean, replicate int, tp double, n double")
+    sums = some.groupBy("bucket", "tied", "replicate").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     per = Window.partitionBy("replicate")
     before = per.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        "bucket", "replicate", F.coalesce(F.sum("tp").over(before), F.lit(0.0)).alias("tp0"),
-        F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("n0"), F.sum("tp").over(per).alias("tp_all"))
+    offsets = durable(sums.select(
+        "bucket", "tied", "replicate", "tp", "n", F.coalesce(F.sum("tp").over(before), F.lit(0.0)).alias("tp0"),
+        F.coalesce(F.sum("n").over(before), F.lit(0.0)).alias("n0"), F.sum("tp").over(per).alias("tp_all")))
 
-    def steps(pdf: pd.DataFrame, off: pd.DataFrame) -> pd.DataFrame:
+    def steps(key, pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        off, table = other[other["block"].isna()].sort_values("r"), other[other["block"].notna()]
         if pdf.empty:
             return pd.DataFrame({"replicate": [], "part": []})
         pdf = pdf.sort_values("p", ascending=False, kind="stable")
-        off = off.sort_values("replicate")
-        tp, al = weighted(pdf)
+        tp, al = weighted(pdf, table)
         p = pdf["p"].to_numpy()
         last = np.r_[p[1:] != p[:-1], True]
-        ctp = np.cumsum(tp, 0)[last] + off["tp0"].to_numpy()
-        cn = np.cumsum(al, 0)[last] + off["n0"].to_numpy()
-        gain = np.diff(np.vstack([off["tp0"].to_numpy()[None, :], ctp]), axis=0)
+        tp0, n0 = off["tp0"].to_numpy(), off["n0"].to_numpy()
+        ctp, cn = np.cumsum(tp, 0)[last] + tp0, np.cumsum(al, 0)[last] + n0
+        gain = np.diff(np.vstack([tp0[None, :], ctp]), axis=0)
         precision = np.divide(ctp, cn, out=np.zeros_like(ctp), where=cn > 0)
-        return pd.DataFrame({"replicate": off["replicate"].to_numpy(), "part": (gain * precision).sum(0)})
-
-    parts = cut.groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInPandas(steps, "replicate int, part double")
+        return pd.DataFrame({"replicate": off["r"].to_numpy(), "part": (gain * precision).sum(0)})
+
+    mixed = dealt.where("NOT tied")
+    beside = drawn(mixed).drop("part").unionByName(
+        offsets.where("NOT tied").select("bucket", F.col("replicate").alias("r"), "tp0", "n0"), allowMissingColumns=True)
+    inner = mixed.groupBy("bucket").cogroup(beside.groupBy("bucket")).applyInPandas(steps, "replicate int, part double")
+    alone = offsets.where("tied").select("replicate", F.coalesce(F.try_divide(
+        F.col("tp") * (F.col("tp0") + F.col("tp")), F.col("n0") + F.col("n")), F.lit(0.0)).alias("part"))
     whole = offsets.groupBy("replicate").agg(F.max("tp_all").alias("tp_all"))
-    return parts.groupBy("replicate").agg(F.sum("part").alias("s")).join(whole, "replicate").select(
+    return inner.unionByName(alone).groupBy("replicate").agg(F.sum("part").alias("s")).join(whole, "replicate").select(
         "replicate", F.try_divide(F.col("s"), F.col("tp_all")).alias("pr_auc"))
 
 
 def difference_interval(rows: DataFrame, a: str, b: str, *, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """One row: median and 95 % interval of PR-AUC(a) - PR-AUC(b)."""
-    pa = replicate_scores(rows, a, replicates=replicates, seed=seed).withColumnRenamed("pr_auc", "a")
-    pb = replicate_scores(rows, b, replicates=replicates, seed=seed).withColumnRenamed("pr_auc", "b")
+    """One row: median and 95 % interval of PR-AUC(a) - PR-AUC(b); both scores see the same draws."""
+    draws = draw_table(rows, replicates=replicates, seed=seed)
+    pa = replicate_scores(rows, a, draws, replicates=replicates).withColumnRenamed("pr_auc", "a")
+    pb = replicate_scores(rows, b, draws, replicates=replicates).withColumnRenamed("pr_auc", "b")
     d = pa.join(pb, "replicate").select((F.col("a") - F.col("b")).alias("d"))
     # One value per replicate, a fixed number.
     q = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.count("d").alias("replicates"))

@@ -203,11 +203,14 @@ def m6(t: Tables):
     return MO.scored(model, split).select("row_id", "y", "group", r("p").alias("p"))
 
 
+def out_of_fold(t: Tables, name: str, features: list[str]):
+    """Out-of-fold scores of one feature set, written once."""
+    return shared(t, f"oof_{name}", lambda: MO.cross_validate(matrix(t), node_edges(t), features, rounds=ROUNDS))
+
+
 @query("M7_cross_validation")
 def m7(t: Tables):
-    m = matrix(t)
-    oof = MO.cross_validate(m, node_edges(t), production_features(m.columns), rounds=ROUNDS)
-    return MO.cv_report(oof)
+    return MO.cv_report(out_of_fold(t, "production", production_features(matrix(t).columns)))
 
 
 @query("M10_production_scores")
@@ -329,5 +332,22 @@ def m18(t: Tables):
 
 @query("M19_block_bootstrap")
 def m19(t: Tables):
-    rows = t.judged.select("y", F.concat("fold", F.lit("_"), (F.col("id") % 12).cast("string")).alias("block"), "p", "q")
-    return B.difference_interval(rows, "p", "q", replicates=1000)
+    """Production against base features on out-of-fold rows; zones and k-means blocks are resampled."""
+    m = matrix(t)
+    p = out_of_fold(t, "production", production_features(m.columns)).select("row_id", "y", "p")
+    q = out_of_fold(t, "b1", feature_sets(m.columns)["B1"]).select("row_id", F.col("p").alias("q"))
+    rows = durable(p.join(q, "row_id").join(m.select("row_id", "zone_id", "cx", "cy"), "row_id"))
+    return B.difference_interval(durable(B.spatial_blocks(rows)), "p", "q", replicates=1000)
+
+
+@query("M19_replicates", """, b AS (SELECT y, fold || '|' || neg_reason AS block, p FROM judged),
+ix AS (SELECT y, block, row_number() OVER (PARTITION BY y ORDER BY md5(block), block) - 1 AS idx, count(*) OVER (PARTITION BY y) AS k FROM (SELECT DISTINCT y, block FROM b)),
+d AS (SELECT y, g.replicate, ('0x' || substr(md5(concat_ws('|', 0, y, g.replicate, idx)), 1, 12))::BIGINT % k AS idx FROM ix, range(200) g(replicate)),
+w AS (SELECT d.y, ix.block, d.replicate, count(*) AS w FROM d JOIN ix ON ix.y = d.y AND ix.idx = d.idx GROUP BY ALL),
+s AS (SELECT replicate, p, coalesce(sum(w) FILTER (y = 1), 0) AS tp, sum(w) AS n FROM b JOIN w USING (y, block) GROUP BY ALL),
+c AS (SELECT replicate, tp, sum(tp) OVER u AS ctp, sum(n) OVER u AS cn, sum(tp) OVER (PARTITION BY replicate) AS tp_all FROM s WINDOW u AS (PARTITION BY replicate ORDER BY p DESC))
+SELECT CAST(replicate AS BIGINT) AS replicate, round(sum(tp / tp_all * ctp / cn), 6) AS pr_auc FROM c GROUP BY 1""", uses=("judged",))
+def m19_replicates(t: Tables):
+    rows = t.judged.select("y", F.concat_ws("|", "fold", "neg_reason").alias("block"), "p")
+    got = B.replicate_scores(rows, "p", B.draw_table(rows, replicates=200), replicates=200)
+    return got.select(big("replicate").alias("replicate"), r("pr_auc").alias("pr_auc"))

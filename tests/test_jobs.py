@@ -39,15 +39,18 @@ def test_boosting_is_repeatable_and_learns(spark):
     assert pa == pb and pa[1] > pa[0] + 0.3
 
 
-def test_bootstrap_matches_direct_resampling(spark):
+@pytest.mark.parametrize("rows_per_bucket", [5, 20, 4000])
+def test_bootstrap_matches_direct_resampling(spark, rows_per_bucket):
     rng = random.Random(7)
-    rows = [(int(rng.random() < .4), f"b{rng.randrange(6)}", round(rng.random(), 2)) for _ in range(200)]
+    rows = [(int(rng.random() < .4), f"b{rng.randrange(6)}", rng.choice([.5, round(rng.random(), 2)])) for _ in range(200)]
     df = spark.createDataFrame(rows, "y int, block string, s double")
-    got = {r["replicate"]: r["pr_auc"] for r in B.replicate_scores(df, "s", replicates=5, rows_per_bucket=20).collect()}
-    blocks = {y: sorted({b for k, b, _ in rows if k == y}) for y in (0, 1)}
-    w = B._weights(0, 5, {y: len(v) for y, v in blocks.items()})
+    draws = B.draw_table(df, replicates=5)
+    got = {r["replicate"]: r["pr_auc"] for r in B.replicate_scores(df, "s", draws, replicates=5, rows_per_bucket=rows_per_bucket).collect()}
+    w = {(r["y"], r["block"], rep): n for r in draws.collect() for rep, n in zip(r["replicate"], r["times"])}
     for rep in range(5):
-        weighted = [(s, y, w[y][blocks[y].index(b), rep]) for y, b, s in rows]
+        for y in (0, 1):
+            assert sum(n for (k, _, at), n in w.items() if k == y and at == rep) == len({b for k, b, _ in rows if k == y})
+        weighted = [(s, y, w.get((y, b, rep), 0)) for y, b, s in rows]
         total, tp, n, ap = sum(k for _, y, k in weighted if y), 0, 0, 0.0
         for s in sorted({s for s, _, _ in weighted}, reverse=True):
             gain = sum(k for v, y, k in weighted if v == s and y)
@@ -56,6 +59,22 @@ def test_bootstrap_matches_direct_resampling(spark):
         assert got[rep] == pytest.approx(ap)
 
 
+def test_spatial_blocks_keep_zones_and_match_their_size(spark):
+    rows = [(f"p{i}", 1, f"z{i % 2}", float(i), 0.0) for i in range(8)] + [(f"u{i}", 1, None, 0.0, 0.0) for i in range(2)]
+    rows += [(f"n{i}", 0, None, 1000.0 * (i // 4), float(i % 4)) for i in range(12)] + [("x", 0, None, None, None)]
+    out = {r["row_id"]: r["block"] for r in B.spatial_blocks(spark.createDataFrame(rows, "row_id string, y int, zone_id string, cx double, cy double")).collect()}
+    assert len(out) == len(rows) and {out[f"p{i}"] for i in range(8)} == {"zone z0", "zone z1"} and out["u0"] != out["u1"]
+    places = [{out[f"n{i}"] for i in range(4 * g, 4 * g + 4)} for g in range(3)]
+    assert all(len(p) == 1 for p in places) and len(set.union(*places)) == 3 and out["x"] == "no place"
+
+
+def test_bootstrap_of_one_class_and_of_nothing(spark):
+    df = spark.createDataFrame([(0, "b", .5), (0, "c", .25)], "y int, block string, s double")
+    assert {r["pr_auc"] for r in B.replicate_scores(df, "s", B.draw_table(df, replicates=3), replicates=3).collect()} == {None}
+    none = df.limit(0)
+    assert B.replicate_scores(none, "s", B.draw_table(none, replicates=3), replicates=3).count() == 0
+
+
 def test_verdict_and_report(spark):
     row = spark.range(1)
     facts = F.struct(*[F.lit(v).cast("string").alias(k) for k, v in {
