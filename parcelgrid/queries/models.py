@@ -12,7 +12,7 @@ from parcelgrid.plans import bootstrap as B, features as FE, folds as K, labels
 from parcelgrid.queries.aggregates import POS_SQL
 from parcelgrid.queries.joins import (
     ABUT_SQL, CENTRES_SQL, PCT_SQL, TARGET_SQL, ZONE_MEMBERS_SQL, ZONING_SQL, centres, land_pct, members)
-from parcelgrid.queries.registry import EDGES_SQL, big, node_edges, old_sql, query, r, shared
+from parcelgrid.queries.registry import EDGES_SQL, big, node_edges, old_sql, query, r, scores_of, shared
 from parcelgrid.session import durable
 from parcelgrid.standins import Tables
 
@@ -332,12 +332,12 @@ def m18(t: Tables):
 
 @query("M19_block_bootstrap")
 def m19(t: Tables):
-    """Production against base features on out-of-fold rows; zones and k-means blocks are resampled."""
-    m = matrix(t)
-    p = out_of_fold(t, "production", production_features(m.columns)).select("row_id", "y", "p")
-    q = out_of_fold(t, "b1", feature_sets(m.columns)["B1"]).select("row_id", F.col("p").alias("q"))
-    rows = durable(p.join(q, "row_id").join(m.select("row_id", "zone_id", "cx", "cy"), "row_id"))
-    return B.difference_interval(durable(B.spatial_blocks(rows)), "p", "q", replicates=1000)
+    """Screening score against a part of it, on all parcels; zones and k-means blocks are resampled."""
+    zone = members(t).groupBy("pnu").agg(F.min("zone_id").alias("zone_id"))
+    s = scores_of(t).join(zone, "pnu", "left").select(
+        F.col("pnu").alias("row_id"), F.col("zone_id").isNotNull().cast("int").alias("y"), "zone_id",
+        F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("score").alias("p"), (F.col("ck") % 7).cast("double").alias("q"))
+    return B.difference_interval(durable(B.spatial_blocks(durable(s))), "p", "q", replicates=1000)
 
 
 @query("M19_replicates", """, b AS (SELECT y, fold || '|' || neg_reason AS block, p FROM judged),
