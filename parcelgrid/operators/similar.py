@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from parcelgrid import settings as S
 from parcelgrid.operators.keyed import first_per_key
+from parcelgrid.session import durable
 
 AXES = [a for a, _ in S.SIMILARITY_AXES]
 AXIS_NAMES = [n for _, n in S.SIMILARITY_AXES]
@@ -63,29 +68,85 @@ def zone_vectors(metrics: DataFrame, *, completed_cut: float = S.MIN_OLD_RATIO_F
     return standardized(metrics, axis_stats(metrics)).select("zone_id", "vec", done.alias("completed"))
 
 
-def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows: int = 4096) -> DataFrame:
-    """(query_id, case_id, similarity, rank): exact best k cases of each query.
+def clustered(cases: DataFrame, clusters: int, *, fit_rows: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((case_id, cv, cluster) of all cases, (cluster, axis, low, high, off) of the clusters that hold any).
 
-    Both sides are cut into blocks of about ``block_rows`` by a hash; every
-    task multiplies one query block with one case block and keeps k rows per
-    query, so pairs are never emitted. ``vec`` must be unit vectors. Ties fall
-    to the smaller case id.
+    ``cases``: case_id, cv. ``clusters`` centres are fitted on at most about
+    ``fit_rows`` cases picked by a hash; every case goes to one of them.
+    ``axis`` is the centre's direction, ``low`` to ``high`` the members'
+    lengths along it and ``off`` their longest distance from it.
+    """
+    share = min(1.0, fit_rows / max(cases.count(), 1))
+    rows = cases.withColumn("_v", array_to_vector("cv"))
+    picked = rows.where(F.pmod(F.xxhash64("case_id", F.lit(seed)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    model = KMeans(k=clusters, seed=seed, maxIter=5, featuresCol="_v", predictionCol="cluster").fit(picked)
+    placed = durable(model.transform(rows).select("case_id", "cv", "cluster"))
+    centres = cases.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, axis array<double>")
+    # One row per centre, of which there are ``clusters``.
+    near = placed.join(F.broadcast(centres.withColumn("axis", unit(F.col("axis")))), "cluster")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    along = near.select("cluster", "axis", dot("axis", "cv").alias("_a"), dot("cv", "cv").alias("_n"))
+    off = F.sqrt(F.greatest(F.col("_n") - F.col("_a") * F.col("_a"), F.lit(0.0)))
+    return placed, along.groupBy("cluster", "axis").agg(F.min("_a").alias("low"), F.max("_a").alias("high"), F.max(off).alias("off"))
+
+
+def cluster_visits(queries: DataFrame, shapes: list[Row]) -> DataFrame:
+    """``queries`` (query_id, qv, floor) plus ``cluster``: a row for each cluster the query has to see.
+
+    Without a floor that is its home, the cluster whose axis is nearest. With
+    one it is each other cluster that may hold a case of at least that
+    similarity: by Cauchy and Schwarz off the axis, no member's product is above
+    (q . axis) times its length along the axis plus |q off axis| times ``off``.
     """
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block_rows))
+    number = np.array([r["cluster"] for r in shapes], np.int32)
+    axis = np.array([r["axis"] for r in shapes], float)
+    low, high, off = (np.array([r[c] for r in shapes], float) for c in ("low", "high", "off"))
+
+    def seen(vec: pd.Series, floor: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(vec), 1024):
+            q = np.stack(vec.iloc[at:at + 1024].to_numpy()).astype(float)
+            least = floor.iloc[at:at + 1024].to_numpy(float)
+            along = q @ axis.T
+            home = along.argmax(axis=1)
+            aside = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - along * along, 0.0))
+            bound = np.maximum(along * low, along * high) + aside * off
+            # The margin is far above rounding and only adds visits.
+            reach = bound + 1e-6 >= least[:, None]
+            reach[np.arange(len(q)), home] = False
+            out += [number[[h]] if np.isnan(f) else number[r] for h, f, r in zip(home, least, reach)]
+        return pd.Series(out)
+
+    return queries.withColumn("cluster", F.explode(F.pandas_udf(seen, "array<int>")("qv", "floor"))).drop("floor")
 
-    nq, nc = blocks(queries), blocks(cases)
-    # Own names on each side: both may stem from one table.
-    q = queries.select("query_id", F.col("vec").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"))
-    c = cases.select("case_id", F.col("vec").alias("cv"), F.pmod(F.xxhash64("case_id"), F.lit(nc)).cast("int").alias("cb"))
-    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("case_id", cases.schema["case_id"].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
 
+def _parts(key: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(key), n).cast("int")
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _in_parts(q: DataFrame, c: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (cluster, qb, cb): each cluster's rows cut by a hash into parts of about ``block_rows``.
+
+    ``q``: query_id, qv, cluster; ``c``: case_id, cv, cluster. A row is
+    repeated once for each part of the other side in its cluster.
+    """
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    # One row per cluster.
+    sizes = F.broadcast(parts(q, "nq").join(parts(c, "nc"), "cluster"))
+    nq, nc = F.col("nq"), F.col("nc")
+    return (q.join(sizes, "cluster").select("query_id", "qv", "cluster", _parts("query_id", nq).alias("qb"), _numbers(nc).alias("cb")),
+            c.join(sizes, "cluster").select("case_id", "cv", "cluster", _parts("case_id", nc).alias("cb"), _numbers(nq).alias("qb")))
+
+
+def _best_in_parts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(query_id, case_id, similarity): up to ``k`` best cases of a query in each part it meets."""
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
             return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
@@ -100,12 +161,49 @@ def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows:
             "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
         })
 
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, schema)
-    # At most k rows per query and case block.
+    schema = T.StructType([left.schema["query_id"], right.schema["case_id"], T.StructField("similarity", T.DoubleType())])
+    keys = ["cluster", "qb", "cb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each query, with ``rank``."""
     w = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "case_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows: int = 4096, most_clusters: int = 1024) -> DataFrame:
+    """(query_id, case_id, similarity, rank): exact best k cases of each query.
+
+    ``vec`` must be unit vectors (or zero), ids unique. Cases are clustered by
+    direction. A query first meets the cluster nearest to it, which gives it a
+    k-th best similarity; of the others it meets only those that can hold a
+    case as good (``cluster_visits``), so the answer is that of all pairs.
+    Vectors without clusters make it meet them all. Products are taken block
+    by block and k rows kept per query, so pairs are never emitted. Up to
+    ``block_rows`` cases are one cluster; ``most_clusters`` bounds what reaches
+    the driver, and larger clusters are cut into parts. Ties fall to the smaller
+    case id. No cases or no queries give no rows.
+    """
+    # Own names on each side: both may stem from one table.
+    q = queries.select("query_id", F.col("vec").alias("qv"))
+    c = cases.select("case_id", F.col("vec").alias("cv"))
+    clusters = min(most_clusters, -(-c.count() // block_rows))
+    if clusters < 2:
+        nq, one = F.lit(max(1, -(-q.count() // block_rows))), F.lit(0)
+        left = q.withColumns({"cluster": one, "qb": _parts("query_id", nq), "cb": one})
+        return _first_k(_best_in_parts(left, c.withColumns({"cluster": one, "qb": _numbers(nq), "cb": one}), k), k)
+    placed, shapes = clustered(c, clusters)
+    known = shapes.collect()
+    home = cluster_visits(q.withColumn("floor", F.lit(None).cast("double")), known)
+    first = durable(_first_k(_best_in_parts(*_in_parts(home, placed, block_rows), k), k))
+    # A home with fewer than k cases sets no floor: -2 is below any product of unit vectors.
+    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(-2.0)).alias("floor"))
+    visits = durable(cluster_visits(q.join(floors, "query_id"), known))
+    others = _best_in_parts(*_in_parts(visits, placed, block_rows), k)
+    return _first_k(first.drop("rank").union(others), k)
+
+
 def with_top_axes(matches: DataFrame, queries: DataFrame, cases: DataFrame, names: list[str] = AXIS_NAMES,
                   top: int = 2) -> DataFrame:
     """Matches plus the names of the axes that add most to the similarity."""

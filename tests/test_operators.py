@@ -206,3 +206,43 @@ def test_cosine_topk_over_many_blocks(spark):
     assert got == want
     axes = SI.with_top_axes(SI.cosine_topk(q, c, k=1), q, c).first()["top_axes"]
     assert 1 <= len(axes) <= 2
+
+
+def _best_by_force(units: dict, k: int) -> set:
+    out = set()
+    for i in units:
+        best = sorted(units, key=lambda j: (-round(sum(a * b for a, b in zip(units[i], units[j])), 12), j))[:k]
+        out |= {(i, j, n + 1) for n, j in enumerate(best)}
+    return out
+
+
+def test_cosine_topk_skips_clusters_that_cannot_hold_a_better_case(spark):
+    rng = random.Random(9)
+    vecs = []
+    for i in range(300):
+        axis = [0.0] * 6
+        axis[i % 6] = 1.0 if i % 2 else -1.0
+        vecs.append((i, [a + rng.gauss(0, 0.05) for a in axis]))
+    # Equal vectors, one far from all others, and a zero vector, which is equally near to all.
+    vecs += [(300, vecs[0][1]), (301, vecs[0][1]), (302, [1.0] * 6), (303, [0.0] * 6)]
+    df = spark.createDataFrame(vecs, "i long, v array<double>").select("i", SI.unit(F.col("v")).alias("vec")).cache()
+    units = {r["i"]: r["vec"] for r in df.collect()}
+    q, c = df.select(F.col("i").alias("query_id"), "vec"), df.select(F.col("i").alias("case_id"), "vec")
+    assert pairs(SI.cosine_topk(q, c, k=4, block_rows=30), "query_id", "case_id", "rank") == _best_by_force(units, 4)
+    # More than any cluster holds: every query sees every case.
+    assert pairs(SI.cosine_topk(q, c, k=200, block_rows=30), "query_id", "case_id", "rank") == _best_by_force(units, 200)
+    assert SI.cosine_topk(q, c.limit(0)).isEmpty() and SI.cosine_topk(q.limit(0), c, block_rows=30).isEmpty()
+
+    placed, shapes = SI.clustered(c.withColumnRenamed("vec", "cv"), 10)
+    assert placed.count() == len(vecs)
+    known = shapes.collect()
+    asked = q.withColumnRenamed("vec", "qv")
+    home = SI.cluster_visits(asked.withColumn("floor", F.lit(None).cast("double")), known)
+    assert home.count() == len(vecs) and home.select("query_id").distinct().count() == len(vecs)
+    others = SI.cluster_visits(asked.withColumn("floor", F.lit(0.9)), known)
+    seen = pairs(home.union(others), "query_id", "cluster")
+    # Most are skipped, and no case of at least the floor lies in a skipped one.
+    assert len(seen) < 0.5 * len(vecs) * len(known)
+    where = {r["case_id"]: r["cluster"] for r in placed.collect()}
+    for i, a in units.items():
+        assert all((i, where[j]) in seen for j, b in units.items() if sum(x * y for x, y in zip(a, b)) >= 0.9)
