@@ -25,7 +25,7 @@ from parcelgrid.session import scratch_root
 
 def _small_batches(spark: SparkSession) -> None:
     """Few bytes at once between Spark and Python: stages share executors with what earlier ones still hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,6 +33,22 @@ def give_back() -> None:
     _trim()(0)
 
 
+_KEPT: list[Callable] = []
+
+
+def kept(make: Callable) -> Callable:
+    """``cache`` for what a worker keeps from task to task, until ``forget``."""
+    _KEPT.append(cache(make))
+    return _KEPT[-1]
+
+
+def forget() -> None:
+    """Drop what other operators keep in this worker, which Spark uses again for the tasks of the next one."""
+    for made in _KEPT:
+        made.cache_clear()
+    give_back()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose texts hold about ``limit`` bytes; one longer text is a slice of its own.
 

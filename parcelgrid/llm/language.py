@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parcelgrid.llm.arrow import blocks, texts
+from parcelgrid.llm.arrow import blocks, forget, texts
 
 BINS = 1 << 16
+#: Bytes of text a task looks at together; its n-grams take some 50 times that.
+BLOCK = 1 << 18
 #: Languages a task counts at a time before it hands its counts on.
 HELD = 64
 #: n-grams overlap: each letter is seen by this many of them.
@@ -74,6 +76,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def language_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, bin, n): n-gram counts per language over all rows whose language is known."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, np.ndarray] = {}
 
         def out():
@@ -82,7 +85,7 @@ def language_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang")
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bin", "n"])
             held.clear()
 
-        for b in blocks(batches, "_text", 1 << 20):
+        for b in blocks(batches, "_text", BLOCK):
             row, bins, n, _ = ngrams(texts(b, "_text"))
             names = np.array(b.column("_lang").to_pylist(), object)
             for name in sorted(set(names)):
@@ -165,7 +168,8 @@ def languages(docs: DataFrame, model: tuple[list[str], np.ndarray], *, key: str
     shared = docs.sparkSession.sparkContext.broadcast(table)  # BINS rows, one number per language
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 1 << 19):
+        forget()
+        for b in blocks(batches, "_text", BLOCK):
             row, bins, n, letters = ngrams(texts(b, "_text"))
             share = mixture(row, bins, n, b.num_rows, shared.value)
             order = np.argsort(-share, axis=1, kind="stable")
@@ -209,7 +213,8 @@ def with_clear_language(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 1 << 19):
+        forget()
+        for b in blocks(batches, "text", BLOCK):
             row, bins, n, letters = ngrams(texts(b))
             stays = letters > 0
             if names:

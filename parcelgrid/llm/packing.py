@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelgrid.llm.arrow import blocks, coded, strings, texts, words
+from parcelgrid.llm.arrow import blocks, coded, kept, strings, texts, words
 from parcelgrid.llm.common import arrow_batches, if_small
 from parcelgrid.llm.token_counts import REMEMBERED, tokenizer
 from parcelgrid.session import durable
@@ -267,7 +267,7 @@ class WordIds:
         return at
 
 
-@cache
+@kept
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
 

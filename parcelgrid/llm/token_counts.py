@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from parcelgrid.llm.arrow import blocks, coded, texts
+from parcelgrid.llm.arrow import blocks, coded, kept, texts
 
 #: Byte-level tokenizers start a new piece before a blank that follows a visible character.
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -26,7 +26,7 @@ _ODD = r"^ |[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 REMEMBERED = 500_000
 
 
-@cache
+@kept
 def tokenizer(path: str):
     """The tokenizer of a .json (tokenizers) or .model (sentencepiece) file, one per worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

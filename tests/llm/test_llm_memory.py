@@ -1,0 +1,30 @@
+"""What a Python worker holds: it is used again for the tasks of the next operator."""
+
+import tracemalloc
+
+import pyarrow as pa
+
+from parcelgrid.llm import arrow, language
+from parcelgrid.llm.packing import word_ids
+from parcelgrid.llm.queries import tokenizer_file
+from parcelgrid.llm.token_counts import tokenizer
+
+
+def test_a_language_task_drops_the_tokenizer_that_packing_left():
+    path = tokenizer_file("word_bpe_49k.json")
+    word_ids(path)(["some", "words"])
+    assert tokenizer.cache_info().currsize == word_ids.cache_info().currsize == 1
+    arrow.forget()
+    assert tokenizer.cache_info().currsize == word_ids.cache_info().currsize == 0
+    assert len(word_ids(path)(["some", "words"])) == 2
+
+
+def test_ngrams_of_a_block_take_bounded_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a sentence of several words " * 40] * 3000)], ["text"])
+    language._is_letter()
+    tracemalloc.start()
+    for b in arrow.blocks(iter([batch]), "text", language.BLOCK):
+        language.ngrams(arrow.texts(b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
