@@ -9,34 +9,80 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelgrid.operators.ranks import bucketed, value_edges
 from parcelgrid.session import durable
 
 
+#: Distinct places that are clustered together, on average; tiles follow a Z-order curve.
+TILE = 2048
+#: Bits of a coordinate on that curve.
+BITS = 20
+
+
+def _along_curve(spots: DataFrame) -> Column:
+    """Place of (cx, cy) on a Z-order curve over the box of all spots."""
+    box = spots.agg(F.min("cx").alias("x"), F.min("cy").alias("y"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("side")).first()
+    step = (box["side"] or 1.0) / (1 << BITS)
+    x, y = (F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(step)), F.lit((1 << BITS) - 1)) for c, low in (("cx", box["x"]), ("cy", box["y"])))
+    bits = [F.shiftleft(F.shiftright(v, b).bitwiseAND(F.lit(1).cast("bigint")), 2 * b + odd) for b in range(BITS) for v, odd in ((y, 0), (x, 1))]
+    # Summed in pairs: a chain of 40 sums would nest as deep.
+    while len(bits) > 1:
+        bits = [a + b for a, b in zip(bits[::2], bits[1::2])] + bits[len(bits) & ~1:]
+    return bits[0].cast("double")
+
+
+def k_means(at: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
+    """Cluster of each of a few thousand weighted points; centres start apart (k-means++)."""
+    chosen = [int(rng.choice(len(at), p=weight / weight.sum()))]
+    far = ((at - at[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and (chance := far * weight).sum() > 0:
+        chosen.append(int(rng.choice(len(at), p=chance / chance.sum())))
+        far = np.minimum(far, ((at - at[chosen[-1]]) ** 2).sum(1))
+    centres, label = at[chosen], None
+    for _ in range(rounds):
+        gaps = (at[:, :1] - centres[:, 0]) ** 2 + (at[:, 1:] - centres[:, 1]) ** 2
+        last, label = label, gaps.argmin(1)
+        if last is not None and (last == label).all():
+            break
+        total = np.bincount(label, weight, len(centres))
+        some = total > 0
+        for axis in (0, 1):
+            centres[some, axis] = np.bincount(label, weight * at[:, axis], len(centres))[some] / total[some]
+    return label
+
+
+def _place_blocks(spots: DataFrame, per_row: float, seed: int) -> DataFrame:
+    """(cx, cy, _k) of every spot; each tile has its rows times ``per_row`` clusters, one at least."""
+    z = spots.withColumn("_z", _along_curve(spots))
+    tiles = max(1, spots.count() // TILE)
+    dealt = bucketed(z, "_z", value_edges(z, "_z", tiles) if tiles > 1 else [], "_tile")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cx", "cy"])
+        tile, weight = int(pdf["_tile"].iloc[0]), pdf["_n"].to_numpy()
+        label = k_means(pdf[["cx", "cy"]].to_numpy(copy=True), weight, max(1, round(weight.sum() * per_row)), np.random.default_rng([seed, tile]))
+        return pd.DataFrame({"cx": pdf["cx"], "cy": pdf["cy"], "_k": [f"{tile} {k}" for k in label]})
+
+    return dealt.select("_tile", "cx", "cy", "_n").groupBy("_tile").applyInPandas(cut, "cx double, cy double, _k string")
+
+
 def spatial_blocks(rows: DataFrame, *, seed: int = 0) -> DataFrame:
     """Rows plus ``block``: the zone of a positive, a k-means block of centroids for a negative.
 
-    ``rows``: row_id, y, zone_id, cx, cy. The number of negative blocks is the
-    number of negatives over the mean number of rows of a zone. Positives
+    ``rows``: row_id, y, zone_id, cx, cy. The number of negative blocks is about
+    the number of negatives over the mean number of rows of a zone. Positives
     without a zone are blocks of their own row; rows without a place share one
-    block. The fit sees distinct centroids weighted by their rows; its centres
-    are the only thing that reaches the driver.
+    block. Distinct centroids, weighted by their rows, are clustered inside
+    tiles of about ``TILE`` of them: all centres against all rows would cost
+    the square of the table. Only tile edges reach the driver.
     """
     zoned = (F.col("y") == 1) & F.col("zone_id").isNotNull()
-    n = rows.agg(F.count(F.when(zoned, 1)).alias("pos"), F.count_distinct(F.when(zoned, F.col("zone_id"))).alias("zones"),
-                 F.count(F.when(F.col("y") == 0, 1)).alias("neg")).first()
+    n = rows.agg(F.count(F.when(zoned, 1)).alias("pos"), F.count_distinct(F.when(zoned, F.col("zone_id"))).alias("zones")).first()
     placed = rows.where("y = 0 AND cx IS NOT NULL AND cy IS NOT NULL").groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    k = max(1, round(n["neg"] * n["zones"] / n["pos"])) if n["pos"] else 1
-    spots = durable(VectorAssembler(inputCols=["cx", "cy"], outputCol="features").transform(placed))
-    if k > 1 and spots.count() > 1:
-        model = KMeans(k=k, seed=seed, weightCol="_n").fit(spots)
-        cluster = model.transform(spots).select("cx", "cy", F.col("prediction").alias("_k"))
-    else:
-        cluster = spots.select("cx", "cy", F.lit(0).alias("_k"))
+    spots = durable(placed)
+    cluster = _place_blocks(spots, n["zones"] / n["pos"] if n["pos"] else 0.0, seed)
     own = F.when(zoned, F.concat(F.lit("zone "), F.col("zone_id").cast("string"))).when(
         F.col("y") == 1, F.concat(F.lit("row "), F.col("row_id").cast("string"))).when(
         F.col("_k").isNotNull(), F.concat(F.lit("place "), F.col("_k").cast("string"))).otherwise("no place")
