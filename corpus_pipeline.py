@@ -52,7 +52,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens (operator 5)."""
-    return packed(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end=2, digest={"ids_crc32": F.crc32}, with_ids=False)
+    _small_batches(spark)
+    return packed(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end=2, digest={"ids_crc32": F.crc32},
+                  with_ids=False, block=1 << 18)
 
 
 STAGES = [

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelgrid.llm.arrow import blocks, coded, kept, strings, texts, words
+from parcelgrid.llm.arrow import blocks, coded, give_back, kept, strings, texts, words
 from parcelgrid.llm.common import arrow_batches, if_small
 from parcelgrid.llm.token_counts import REMEMBERED, tokenizer
 from parcelgrid.session import durable
@@ -34,6 +34,8 @@ from parcelgrid.session import durable
 FINE = 0.0025
 #: Words of letters that are encoded as one text.
 JOINED = 256
+#: Bytes of text a task encodes together.
+BLOCK = 1 << 20
 
 
 class Plan:
@@ -202,9 +204,10 @@ def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class WordIds:
-    """Ids of words, remembered; beyond ``REMEMBERED`` / 2 words only those met again stay."""
+    """Ids of words, remembered; beyond ``most`` words only those met again stay."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED // 2):
+        self.most = most
         self.tokenizer = tokenizer(path)
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends = None
@@ -251,7 +254,7 @@ class WordIds:
         find = self.index.get
         at = np.fromiter((find(x, -1) for x in names), np.int64, len(names))
         new = [names[i] for i in np.flatnonzero(at < 0)]
-        if len(self.index) + len(new) > REMEMBERED // 2:
+        if len(self.index) + len(new) > self.most:
             met = np.flatnonzero(at >= 0)
             self.index = {names[i]: k for k, i in enumerate(met)}
             self.pool = _gather(self.pool, self.begin[at[met]], self.size[at[met]])
@@ -268,12 +271,12 @@ class WordIds:
 
 
 @kept
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, most: int = REMEMBERED // 2) -> WordIds:
+    return WordIds(path, most)
 
 
-def text_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each followed by ``end``; offsets per text)."""
+def text_ids(column: pa.Array, path: str, end: int, most: int = REMEMBERED // 2) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each followed by ``end``; offsets per text); ``most`` words are remembered."""
     if drops_blanks(path):
         flat, at = words(column)
         codes, names = coded(flat)
@@ -284,7 +287,7 @@ def text_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndar
         stems = pc.if_else(pc.match_substring(stems, "<|"), stems, pc.ascii_lower(stems))
         stem_codes, stems = coded(stems)
         mark_codes, marks = coded(marks)
-        known = word_ids(path)
+        known = word_ids(path, most)
         # Looked up together, as a look-up may renumber what is remembered.
         both_codes, both = coded(pa.concat_arrays([stems, marks]))
         place = known(strings(both))[both_codes]
@@ -305,17 +308,21 @@ def text_ids(column: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndar
     return _gather(pool, (np.cumsum(size) - size)[codes], many), total[np.concatenate(([0], at[1:] + np.arange(1, len(at))))]
 
 
-def token_pieces(docs: DataFrame, path: str, *, end: int, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, *, end: int, capacity: int = 4096, key: str = "doc_id", text: str = "text",
+                 block: int = BLOCK) -> DataFrame:
     """(key, start, length, doc_tokens, ids) of every piece; ids are little-endian unsigned 32-bit numbers.
 
     The ids of a row are those of its whole text (null: empty) and ``end``; they
-    are cut every ``capacity`` ids.
+    are cut every ``capacity`` ids. A task encodes ``block`` bytes of text at a
+    time and remembers as many words as a quarter of that, ``REMEMBERED`` / 2 at most.
     """
+    most = min(REMEMBERED // 2, block // 4)
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 1 << 20):
-            ids, at = text_ids(texts(b, "_text"), path, end)
+        give_back()
+        for b in blocks(batches, "_text", block):
+            ids, at = text_ids(texts(b, "_text"), path, end, most)
             n = np.diff(at)
             pieces = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), pieces)
@@ -350,17 +357,19 @@ def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, *, end: int, capacity: int = 4096, key: str = "doc_id", text: str = "text",
-           digest: dict[str, Callable[[Column], Column]] | None = None, with_ids: bool = True) -> DataFrame:
+           digest: dict[str, Callable[[Column], Column]] | None = None, with_ids: bool = True, block: int = BLOCK) -> DataFrame:
     """(key, start, length, doc_tokens, sequence_id, offset, ids) of every piece of every row of ``docs``.
 
     ``digest`` adds columns made of a piece's ids; ``with_ids=False`` leaves
     the ids themselves out, which saves a shuffle of them. Null and empty texts
     are one piece that holds ``end`` alone; rows that repeat a key have pieces
-    each; an empty table has none. ``capacity`` is a power of two.
+    each; an empty table has none. ``capacity`` is a power of two. ``block`` is
+    the bytes of text a task encodes together, an eighth of a batch between Spark
+    and Python: fewer need less memory.
     """
     digest = digest or {}
-    made = token_pieces(docs, path, end=end, capacity=capacity, key=key, text=text)
-    with arrow_batches(docs.sparkSession, "8m"):
+    made = token_pieces(docs, path, end=end, capacity=capacity, key=key, text=text, block=block)
+    with arrow_batches(docs.sparkSession, f"{8 * block}b"):
         stored = durable(made.withColumn("_rid", F.monotonically_increasing_id()).withColumns(
             {n: f(F.col("ids")) for n, f in digest.items()}))
     histogram = {r.length: r.n for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
