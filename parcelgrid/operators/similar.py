@@ -16,6 +16,10 @@ from parcelgrid.session import durable
 
 AXES = [a for a, _ in S.SIMILARITY_AXES]
 AXIS_NAMES = [n for _, n in S.SIMILARITY_AXES]
+#: Queries whose products with a block of cases a task takes together.
+AT_ONCE = 512
+#: Most bytes of vectors on one side of a task.
+PART_BYTES = 32 << 20
 
 
 def unit(vec: Column) -> Column:
@@ -69,12 +73,12 @@ def zone_vectors(metrics: DataFrame, *, completed_cut: float = S.MIN_OLD_RATIO_F
 
 
 def clustered(cases: DataFrame, clusters: int, *, fit_rows: int = 100_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """((case_id, cv, cluster) of all cases, (cluster, axis, low, high, off) of the clusters that hold any).
+    """((case_id, cv, cluster) of all cases, (cluster, axis, low, high, off, n) of the clusters that hold any).
 
     ``cases``: case_id, cv. ``clusters`` centres are fitted on at most about
     ``fit_rows`` cases picked by a hash; every case goes to one of them.
     ``axis`` is the centre's direction, ``low`` to ``high`` the members'
-    lengths along it and ``off`` their longest distance from it.
+    lengths along it, ``off`` their longest distance from it and ``n`` their number.
     """
     share = min(1.0, fit_rows / max(cases.count(), 1))
     rows = cases.withColumn("_v", array_to_vector("cv"))
@@ -88,21 +92,30 @@ def clustered(cases: DataFrame, clusters: int, *, fit_rows: int = 100_000, seed:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     along = near.select("cluster", "axis", dot("axis", "cv").alias("_a"), dot("cv", "cv").alias("_n"))
     off = F.sqrt(F.greatest(F.col("_n") - F.col("_a") * F.col("_a"), F.lit(0.0)))
-    return placed, along.groupBy("cluster", "axis").agg(F.min("_a").alias("low"), F.max("_a").alias("high"), F.max(off).alias("off"))
+    return placed, along.groupBy("cluster", "axis").agg(F.min("_a").alias("low"), F.max("_a").alias("high"), F.max(off).alias("off"), F.count(F.lit(1)).alias("n"))
 
 
-def cluster_visits(queries: DataFrame, shapes: list[Row]) -> DataFrame:
-    """``queries`` (query_id, qv, floor) plus ``cluster``: a row for each cluster the query has to see.
+def bundles(shapes: list[Row], rows: int) -> list[int]:
+    """Bundle of each cluster by its number: clusters side by side, of about ``rows`` cases together."""
+    out, before = [0] * (1 + max(r["cluster"] for r in shapes)), 0
+    for r in sorted(shapes, key=lambda r: list(r["axis"])):
+        out[r["cluster"]] = before // rows
+        before += r["n"]
+    return out
 
-    Without a floor that is its home, the cluster whose axis is nearest. With
-    one it is each other cluster that may hold a case of at least that
-    similarity: by Cauchy and Schwarz off the axis, no member's product is above
-    (q . axis) times its length along the axis plus |q off axis| times ``off``.
-    """
+
+def _with_seen(queries: DataFrame, shapes: list[Row], bundle: list[int]) -> DataFrame:
+    """``queries`` (query_id, qv, floor) plus ``see``: the clusters to see, a list for each bundle that holds any."""
+    shapes = sorted(shapes, key=lambda r: bundle[r["cluster"]])
     number = np.array([r["cluster"] for r in shapes], np.int32)
+    at_bundle = np.array(bundle)[number]
     axis = np.array([r["axis"] for r in shapes], float)
     low, high, off = (np.array([r[c] for r in shapes], float) for c in ("low", "high", "off"))
 
+    def split(mask: np.ndarray) -> list[np.ndarray]:
+        mine, where = number[mask], at_bundle[mask]
+        return np.split(mine, np.flatnonzero(where[1:] != where[:-1]) + 1) if len(mine) else []
+
     def seen(vec: pd.Series, floor: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(vec), 1024):
@@ -115,10 +128,22 @@ def cluster_visits(queries: DataFrame, shapes: list[Row]) -> DataFrame:
             # The margin is far above rounding and only adds visits.
             reach = bound + 1e-6 >= least[:, None]
             reach[np.arange(len(q)), home] = False
-            out += [number[[h]] if np.isnan(f) else number[r] for h, f, r in zip(home, least, reach)]
+            out += [[number[[h]]] if np.isnan(f) else split(r) for h, f, r in zip(home, least, reach)]
         return pd.Series(out)
 
-    return queries.withColumn("cluster", F.explode(F.pandas_udf(seen, "array<int>")("qv", "floor"))).drop("floor")
+    return queries.withColumn("see", F.pandas_udf(seen, "array<array<int>>")("qv", "floor")).drop("floor")
+
+
+def cluster_visits(queries: DataFrame, shapes: list[Row]) -> DataFrame:
+    """``queries`` (query_id, qv, floor) plus ``cluster``: a row for each cluster the query has to see.
+
+    Without a floor that is its home, the cluster whose axis is nearest. With
+    one it is each other cluster that may hold a case of at least that
+    similarity: by Cauchy and Schwarz off the axis, no member's product is above
+    (q . axis) times its length along the axis plus |q off axis| times ``off``.
+    """
+    seen = _with_seen(queries, shapes, [0] * (1 + max(r["cluster"] for r in shapes)))
+    return seen.withColumn("cluster", F.explode(F.flatten("see"))).drop("see")
 
 
 def _parts(key: str, n: Column) -> Column:
@@ -129,40 +154,79 @@ def _numbers(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _in_parts(q: DataFrame, c: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with (cluster, qb, cb): each cluster's rows cut by a hash into parts of about ``block_rows``.
+def _in_parts(q: DataFrame, c: DataFrame, bundle: list[int], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (bundle, qb, cb): each bundle's rows cut by a hash into parts of about ``rows``.
 
-    ``q``: query_id, qv, cluster; ``c``: case_id, cv, cluster. A row is
-    repeated once for each part of the other side in its cluster.
+    ``q``: query_id, qv, see; ``c``: case_id, cv, cluster. A query is there once
+    for each bundle it looks into (not once a cluster) and each part of it.
     """
+    of = F.array(*[F.lit(b) for b in bundle])
+
     def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        return df.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    # One row per cluster.
-    sizes = F.broadcast(parts(q, "nq").join(parts(c, "nc"), "cluster"))
+    q = q.withColumn("see", F.explode("see")).withColumn("bundle", F.get(of, F.get("see", F.lit(0))))
+    c = c.withColumn("bundle", F.get(of, F.col("cluster")))
+    # One row per bundle.
+    sizes = F.broadcast(parts(q, "nq").join(parts(c, "nc"), "bundle"))
     nq, nc = F.col("nq"), F.col("nc")
-    return (q.join(sizes, "cluster").select("query_id", "qv", "cluster", _parts("query_id", nq).alias("qb"), _numbers(nc).alias("cb")),
-            c.join(sizes, "cluster").select("case_id", "cv", "cluster", _parts("case_id", nc).alias("cb"), _numbers(nq).alias("qb")))
+    return (q.join(sizes, "bundle").select("query_id", "qv", "see", "bundle", _parts("query_id", nq).alias("qb"), _numbers(nc).alias("cb")),
+            c.join(sizes, "bundle").select("case_id", "cv", "cluster", "bundle", _parts("case_id", nc).alias("cb"), _numbers(nq).alias("qb")))
+
+
+def _best_in_parts(left: DataFrame, right: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, case_id, similarity): up to ``k`` best cases of a query in each part it meets.
+
+    A part is large, so that few copies are shuffled; its products are taken
+    for ``AT_ONCE`` queries and ``block`` cases of one cluster at a time.
+    """
+    def leading(row: np.ndarray, key: np.ndarray, tie: np.ndarray, count: int) -> np.ndarray:
+        """Places of the ``count`` entries of each row with the largest key, the smaller tie first."""
+        order = np.lexsort((tie, -key, row))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(row[order]) != 0))) if len(order) else np.zeros(0, int)
+        number = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        return order[number < count]
 
+    # What tasks use stands in here, so that workers need not import this module.
+    at_once = AT_ONCE
 
-def _best_in_parts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(query_id, case_id, similarity): up to ``k`` best cases of a query in each part it meets."""
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
             return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
-        cs = cs.sort_values("case_id", kind="stable")
-        ids = cs["case_id"].to_numpy()
-        sims = np.stack(qs["qv"].to_numpy()).astype(float) @ np.stack(cs["cv"].to_numpy()).astype(float).T
-        # Rounding makes ties exact before the stable sort breaks them by id.
-        order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({
-            "query_id": np.repeat(qs["query_id"].to_numpy(), order.shape[1]),
-            "case_id": ids[order.ravel()],
-            "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-        })
+        cs = cs.sort_values(["cluster", "case_id"], kind="stable")
+        ids, cluster = cs["case_id"].to_numpy(), cs["cluster"].to_numpy()
+        tie = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        held = np.stack(cs["cv"].to_numpy()).astype(float)
+        first = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
+        cuts = [(cluster[a], s, min(s + block, b)) for a, b in zip(first, [*first[1:], len(cluster)]) for s in range(a, b, block)]
+        done = []
+        for at in range(0, len(qs), at_once):
+            some = qs.iloc[at:at + at_once]
+            vec = np.stack(some["qv"].to_numpy()).astype(float)
+            flat = np.concatenate(some["see"].to_numpy())
+            owner = np.repeat(np.arange(len(some)), some["see"].map(len).to_numpy())
+            row, place, sim, key = [], [], [], []
+            for number, a, b in cuts:
+                mine = owner[flat == number]
+                sims = vec[mine] @ held[a:b].T
+                # Rounding makes ties exact before they are broken by id.
+                keys = np.round(sims, 12)
+                some_k = min(k, b - a)
+                near = keys >= np.partition(keys, b - a - some_k, axis=1)[:, b - a - some_k, None]
+                i, j = np.nonzero(near)
+                i, j = (x[p] for x in (i, j) for p in [leading(i, keys[near], j, k)])
+                row.append(mine[i])
+                place.append(a + j)
+                sim.append(sims[i, j])
+                key.append(keys[i, j])
+            row, place, sim, key = map(np.concatenate, (row, place, sim, key))
+            lead = leading(row, key, tie[place], k)
+            done.append((some["query_id"].to_numpy()[row[lead]], ids[place[lead]], sim[lead]))
+        query, case, sim = map(np.concatenate, zip(*done))
+        return pd.DataFrame({"query_id": query, "case_id": case, "similarity": sim})
 
     schema = T.StructType([left.schema["query_id"], right.schema["case_id"], T.StructField("similarity", T.DoubleType())])
-    keys = ["cluster", "qb", "cb"]
+    keys = ["bundle", "qb", "cb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
 
 
@@ -179,28 +243,35 @@ def cosine_topk(queries: DataFrame, cases: DataFrame, *, k: int = 3, block_rows:
     direction. A query first meets the cluster nearest to it, which gives it a
     k-th best similarity; of the others it meets only those that can hold a
     case as good (``cluster_visits``), so the answer is that of all pairs.
-    Vectors without clusters make it meet them all. Products are taken block
-    by block and k rows kept per query, so pairs are never emitted. Up to
-    ``block_rows`` cases are one cluster; ``most_clusters`` bounds what reaches
-    the driver, and larger clusters are cut into parts. Ties fall to the smaller
-    case id. No cases or no queries give no rows.
+    Vectors without clusters make it meet them all. Clusters go to tasks in
+    bundles, so a query is shuffled once for each bundle it looks into; a bundle
+    has up to 16 times ``block_rows`` cases, fewer where that would leave
+    executors idle or pass ``PART_BYTES``. Products are taken block by block and
+    k rows kept per query, so pairs are never emitted. Up to ``block_rows``
+    cases are one cluster; ``most_clusters`` bounds what reaches the driver, and
+    larger clusters are cut into parts. Ties fall to the smaller case id. No
+    cases or no queries give no rows.
     """
     # Own names on each side: both may stem from one table.
     q = queries.select("query_id", F.col("vec").alias("qv"))
     c = cases.select("case_id", F.col("vec").alias("cv"))
-    clusters = min(most_clusters, -(-c.count() // block_rows))
+    n = c.count()
+    clusters = min(most_clusters, -(-n // block_rows))
     if clusters < 2:
         nq, one = F.lit(max(1, -(-q.count() // block_rows))), F.lit(0)
-        left = q.withColumns({"cluster": one, "qb": _parts("query_id", nq), "cb": one})
-        return _first_k(_best_in_parts(left, c.withColumns({"cluster": one, "qb": _numbers(nq), "cb": one}), k), k)
+        left = q.withColumns({"see": F.array(one), "bundle": one, "qb": _parts("query_id", nq), "cb": one})
+        return _first_k(_best_in_parts(left, c.withColumns({"cluster": one, "bundle": one, "qb": _numbers(nq), "cb": one}), k, block_rows), k)
     placed, shapes = clustered(c, clusters)
     known = shapes.collect()
-    home = cluster_visits(q.withColumn("floor", F.lit(None).cast("double")), known)
-    first = durable(_first_k(_best_in_parts(*_in_parts(home, placed, block_rows), k), k))
+    sides = math.ceil(math.sqrt(4 * c.sparkSession.sparkContext.defaultParallelism))
+    rows = max(block_rows, min(16 * block_rows, PART_BYTES // (8 * len(known[0]["axis"])), n // sides))
+    bundle = bundles(known, rows)
+    home = _with_seen(q.withColumn("floor", F.lit(None).cast("double")), known, bundle)
+    first = durable(_first_k(_best_in_parts(*_in_parts(home, placed, bundle, rows), k, block_rows), k))
     # A home with fewer than k cases sets no floor: -2 is below any product of unit vectors.
     floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(-2.0)).alias("floor"))
-    visits = durable(cluster_visits(q.join(floors, "query_id"), known))
-    others = _best_in_parts(*_in_parts(visits, placed, block_rows), k)
+    visits = durable(_with_seen(q.join(floors, "query_id"), known, bundle))
+    others = _best_in_parts(*_in_parts(visits, placed, bundle, rows), k, block_rows)
     return _first_k(first.drop("rank").union(others), k)
 
 
