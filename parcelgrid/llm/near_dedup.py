@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _tied(rows: DataFrame, sketches: DataFrame, least: float, order: Column) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of like nodes and centres, (node, bucket) still open): ``rows``, (node, bucket), against two centres a bucket.
+    """((a, b) of like nodes and centres, rows still open): ``rows``, with node and bucket, against two centres a bucket.
 
     The centres of a bucket are its first and last node by node XOR ``order``.
     The same order in all buckets gives a large family few centres, so few pairs.
@@ -123,7 +123,7 @@ def _tied(rows: DataFrame, sketches: DataFrame, least: float, order: Column) ->
     open_ = rows.join(met.where("size > 3"), "bucket").where("node <> lo AND node <> hi")
     for c in ("lo", "hi"):
         open_ = open_.join(like.where("settled").select(F.col("a").alias("node"), F.col("b").alias(c)), ["node", c], "left_anti")
-    return like.select("a", "b"), open_.select("node", "bucket")
+    return like.select("a", "b"), open_.select(*rows.columns)
 
 
 def _order(turn: int) -> Column:
@@ -131,33 +131,52 @@ def _order(turn: int) -> Column:
     return F.lit(int(mixed(np.array([turn + 1], np.uint64)).view(np.int64)[0]))
 
 
-def _by_size(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Buckets of ``rows`` cut by size of set: each node in its own and the next class, so that linked nodes still meet."""
+def _by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, bucket): buckets of ``rows``, (node, n, bucket), cut by size of set: each node in its own and the next class, so that linked nodes still meet."""
     # A little more than the largest ratio of linked sets, against rounding.
     ratio = max(-math.log(percent / 100), 1e-3) * (1 + 1e-6)
     size_class = F.floor(F.log("n") / F.lit(ratio))
-    return rows.join(sizes, "node").select("node", F.explode(F.array(*(F.xxhash64("bucket", size_class + k) for k in (0, 1)))).alias("bucket"))
+    return rows.select("node", F.explode(F.array(*(F.xxhash64("bucket", size_class + k) for k in (0, 1)))).alias("bucket"))
 
 
-def _compared_sketches(rows: DataFrame, family: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(src, dst): links that connect what is alike in each bucket of ``rows``, looking at every pair of two families, block by block.
+def _sketch_tasks(rows: DataFrame, family: DataFrame) -> DataFrame:
+    """(bucket, i, j, node): every two nodes of a bucket of ``rows`` and of two families share a task.
 
     Pairs within a bucket's largest family are connected already, so only what
-    is not of it is held against all blocks.
+    is not of it is held against all blocks. A large family is the largest in
+    up to two buckets a band, with much the same nodes in all: where that takes
+    fewer rows, all buckets of a family are one.
     """
     of = durable(rows.join(family, "node", "left").select("bucket", "node", F.coalesce("family", "node").alias("family")))
     counts = of.groupBy("bucket", "family").agg(F.count(F.lit(1)).alias("size"))
+    main = counts.groupBy("bucket").agg(
+        F.max_by("family", F.struct("size", "family")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most")).where("n > most")
     blocks_of = lambda n: F.ceil(n / (SKETCHES // 2)).cast("int")
-    sizes = durable(counts.groupBy("bucket").agg(
-        F.max_by("family", F.struct("size", "family")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most")).where(
-            "n > most").select("bucket", "main", blocks_of(F.col("n")).alias("n_blocks"), blocks_of(F.col("n") - F.col("most")).alias("n_rest")))
-    placed = of.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int")).withColumn(
-        "j", F.pmod(F.xxhash64("node", F.lit(1)), "n_rest").cast("int"))
+
+    def sized(groups: DataFrame, n: Column, rest: Column, *keys: str) -> DataFrame:
+        return groups.select(*keys, blocks_of(n).alias("n_blocks"), blocks_of(rest).alias("n_rest"),
+                             (n * blocks_of(rest) + rest * blocks_of(n)).alias("cost"))
+
+    each = durable(sized(main, F.col("n"), F.col("n") - F.col("most"), "bucket", "main"))
+    held = of.join(each.select("bucket", "main"), "bucket")
+    once = durable(held.select(F.col("main").alias("bucket"), "main", "node", "family").distinct())
+    whole = sized(once.groupBy("bucket", "main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("family") != F.col("main")).alias("rest")),
+                  F.col("n"), F.col("rest"), "bucket", "main")
+    parts = each.groupBy("main").agg(F.sum("cost").alias("cost_parts"))
+    whole = durable(whole.join(parts, "main").where("cost < cost_parts").drop("cost_parts"))
+    sizes = each.join(whole.select("main"), "main", "left_anti").select("bucket", "n_blocks", "n_rest")
+    placed = held.select(*once.columns).join(sizes, "bucket").unionByName(
+        once.join(whole.select("bucket", "n_blocks", "n_rest"), "bucket")).withColumn(
+            "i", F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int")).withColumn(
+                "j", F.pmod(F.xxhash64("node", F.lit(1)), "n_rest").cast("int"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = placed.select("bucket", "node", "i", span("n_rest").alias("j"))
     rest = placed.where("family <> main").select("bucket", "node", span("n_blocks").alias("i"), "j")
-    tasks = every.union(rest).distinct()
+    return every.union(rest).distinct().select("bucket", "i", "j", "node")
 
+
+def _compared_sketches(rows: DataFrame, family: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(src, dst): links that connect what is alike in each bucket of ``rows``, looking at every pair of two families, block by block."""
     def compare(task: pa.Table) -> pa.Table:
         node = task.column("node").to_numpy()
         sketch = np.frombuffer(b"".join(task.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
@@ -165,7 +184,7 @@ def _compared_sketches(rows: DataFrame, family: DataFrame, sketches: DataFrame,
         other = first != node
         return pa.table({"src": pa.array(node[other], pa.int64()), "dst": pa.array(first[other], pa.int64())})
 
-    return tasks.join(sketches, "node").select("bucket", "i", "j", "node", "sketch").groupBy("bucket", "i", "j").applyInArrow(
+    return _sketch_tasks(rows, family).join(sketches, "node").select("bucket", "i", "j", "node", "sketch").groupBy("bucket", "i", "j").applyInArrow(
         compare, "src bigint, dst bigint")
 
 
@@ -178,12 +197,12 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     """
     least = percent / 100 - FAMILY_SLACK
     sketches = nodes.select("node", "sketch")
-    edges, rest = _tied(nodes.select("node", F.explode("bands").alias("bucket")), sketches, least, _order(0))
+    edges, rest = _tied(nodes.select("node", "n", F.explode("bands").alias("bucket")), sketches, least, _order(0))
     # A node's centres are tied to the smallest of them, and it alone to the node: members of a family share their centres.
     least_centre = durable(edges.groupBy("a").agg(F.min("b").alias("low")))
     ties = edges.join(least_centre, "a").where("b <> low").select("b", "low").distinct()
     links = durable(least_centre.union(ties))
-    rest = durable(_by_size(rest, nodes.select("node", "n"), percent))
+    rest = durable(_by_size(rest, percent))
     found = durable(components(both_ways(links, "a", "low")))
     family = found.select(F.col("pnu").alias("node"), F.col("component").alias("family"))
     # Buckets whose nodes are all of one family have nothing left to connect.
