@@ -117,6 +117,15 @@ def _holds(at: Column, start: Column, count: Column) -> Column:
     return (at >= start) & (at < start + count)
 
 
+def holds_quantile(probs: dict[str, float], start: Column, count: Column) -> Column:
+    """Whether a wanted order statistic of ``n`` values is among the ``count`` after the first ``start``."""
+    needed = F.lit(False)
+    for p in probs.values():
+        lo, hi, _ = _positions(p)
+        needed = needed | _holds(lo, start, count) | _holds(hi, start, count)
+    return needed
+
+
 def locate_quantiles(counts: DataFrame, groups: list[str], probs: dict[str, float]) -> DataFrame:
     """Buckets that hold the wanted order statistics: (groups, _bucket, _before, n).
 
@@ -128,11 +137,7 @@ def locate_quantiles(counts: DataFrame, groups: list[str], probs: dict[str, floa
         *groups, "_bucket", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c",
         F.sum("_c").over(over).alias("n"),
     )
-    needed = F.lit(False)
-    for p in probs.values():
-        lo, hi, _ = _positions(p)
-        needed = needed | _holds(lo, F.col("_before"), F.col("_c")) | _holds(hi, F.col("_before"), F.col("_c"))
-    return placed.where(needed).select(*groups, "_bucket", "_before", "n")
+    return placed.where(holds_quantile(probs, F.col("_before"), F.col("_c"))).select(*groups, "_bucket", "_before", "n")
 
 
 def pick_quantiles(near: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
