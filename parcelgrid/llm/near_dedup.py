@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelgrid.llm.arrow import blocks, texts
+from parcelgrid.llm.arrow import blocks, forget, give_back, texts
 from parcelgrid.llm.common import both_ways, if_small
 from parcelgrid.llm.shingles import mixed, shingle_sets
 from parcelgrid.operators.graph import components
@@ -35,6 +35,8 @@ FAMILY_SLACK = 0.25
 SETTLED = 1 - FAMILY_SLACK + 0.15
 #: Sketches of a block, where every pair of a bucket is looked at.
 SKETCHES = 256
+#: Bytes of text a task signs together; what it holds beside the executor follows from that.
+BLOCK = 1 << 18
 BLOCK_TEXTS, BLOCK_SHINGLES, PIVOTS = 96, 400_000, 8
 _VOCABULARY = 1 << 14
 
@@ -67,7 +69,8 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     multipliers = _multipliers(n_bands * BAND_ROWS // 2)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, limit=1 << 20):
+        forget()
+        for b in blocks(batches, limit=BLOCK):
             flat, at = shingle_sets(texts(b), size)
             counts = np.diff(at)
             full = np.flatnonzero(counts)
@@ -230,7 +233,7 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(node, digest, shingles): full sets of the members, as sorted 64-bit numbers."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, limit=1 << 20):
+        for b in blocks(batches, limit=BLOCK):
             flat, at = shingle_sets(texts(b), size)
             sets = [flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -280,6 +283,8 @@ def _compared(tasks: DataFrame, keys: list[str], percent: int) -> DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in task.column("shingles").to_pylist()]
         first = node[_parts(linked(sets, percent))]
         other = first != node
+        del sets
+        give_back()
         return pa.table({"src": pa.array(node[other], pa.int64()), "dst": pa.array(first[other], pa.int64())})
 
     return tasks.select(*keys, "node", "shingles").groupBy(*keys).applyInArrow(compare, "src bigint, dst bigint")
